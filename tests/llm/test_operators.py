@@ -1,0 +1,389 @@
+"""The operators against brute force, on texts that are null, empty, long, repeated or nearly so."""
+
+import hashlib
+import html
+import random
+import re
+import zlib
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tickloom.llm import bpe_counts, lsi_decontam, mixing, near_dedup, quality_llr, queries, rans, secret_scan, sharding, style_tree, suffix_dedup
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, source string, lang string, n long, node string, value string, key string, size long, shard int, n_words long, __times long, host string"
+
+
+def rows():
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("aeioustrn") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    text = lambda k: " ".join(r.choice(vocabulary) for _ in range(k))
+    out = [None, "", "", " \n\t ", "one", "one two three", "One TWO three", text(60), text(300), text(6000)]
+    shared = text(70)
+    for k in range(12):
+        words = text(r.choice([30, 80, 200])).split()
+        out.append(" ".join(words))
+        out.append(" ".join(words))
+        words[r.randrange(len(words))] = "changed"
+        out.append(" ".join(words) + ".")
+        out.append(text(40) + "\n" + shared + "\r\n" + text(25) + "\n\n" + "same line here\nsame line here")
+    out += ["x y z " * 100, "é ü\x0bß 日本 " * 60, "a" * 700, "<|endoftext|> SHOUT!! ### $$$ | " * 20]
+    docs = [(i, t, [None, "a", "b", "é", "z"][i % 5]) for i, t in enumerate(out)]
+    docs += [docs[20], docs[20], (None, "nothing has this id " * 5, "a")]
+    return [(*d, "en", 1, "n", "v", "k", 7, 3, 9, 5, "h") for d in docs]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(t):
+    return WORD.findall(t or "")
+
+
+def found(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_token_files_hold_what_the_library_gives(spark, docs, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, expected, at = Tokenizer.from_file(path), [], 0
+    for i, t in sorted(((r[0], r[1]) for r in rows()), key=lambda x: (x[0] is not None, x[0] or 0)):
+        ids = library.encode(t or "", add_special_tokens=False).ids + [1]
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert found(rans.encoded_documents(docs, path)) == sorted(expected, key=repr)
+    assert found(rans.encoded_documents(none, path)) == []
+
+
+@pytest.mark.parametrize("n", [0, 1, 31, 32, 5000, 70_000])
+def test_coder_round_trip_from_every_checkpoint(n):
+    ids = np.random.default_rng(n).zipf(1.3, n) % 3000
+    frequencies = rans.normalised(np.bincount(ids, minlength=3001) if n else np.array([1]))
+    assert not n or frequencies.sum() == 1 << rans.BITS
+    coder = rans.Coder(frequencies)
+    data, marks = coder.encode(ids, 32)
+    assert (coder.decode(data, marks, n, 32) == ids).all()
+    for k in range(-(-n // (32 * rans.CHECK_STEPS))):
+        assert (coder.decode(data, marks, n, 32, k) == ids[k * 32 * rans.CHECK_STEPS :][: 32 * rans.CHECK_STEPS]).all()
+    if n > 5000:
+        broken = bytearray(data)
+        broken[len(broken) // 2] ^= 1
+        with pytest.raises(rans.TokenFormatError):
+            coder.decode(bytes(broken), marks, n, 32)
+
+
+def test_mixing(spark, docs, none, tmp_path):
+    mixed = mixing.mix(docs).selectExpr("doc_id", "__size size", "__source_size source_size", "__target target", "__times * __size taken")
+    got = found(mixed)
+    db = duckdb.connect()
+    docs.select("doc_id", "text", "source").toPandas().to_parquet(tmp_path / "d.parquet")
+    db.sql(f"CREATE VIEW documents AS SELECT CAST(doc_id AS BIGINT) doc_id, text, source FROM '{tmp_path}/d.parquet'")
+    expected = set(db.sql(queries.OP3_SQL).fetchall())
+    assert {tuple(r) for r in got} == expected
+    sizes, taken, target = Counter(), Counter(), {}
+    by_id = {r[0]: r[2] for r in rows()}
+    for i, size, source_size, t, took in got:
+        sizes[by_id[i]] += size
+        taken[by_id[i]] += took
+        target[by_id[i]] = t
+        assert size == len(words(next(r[1] for r in rows() if r[0] == i))) and took <= 3 * size
+    assert abs(sum(target.values()) - sum(sizes.values())) < 1e-6
+    assert found(mixing.mix(none)) == []
+    again = mixing.mixed_documents(docs)
+    assert again.columns == docs.columns
+    assert sum(len(words(r.text)) for r in again.collect()) == sum(taken.values())
+
+
+def test_water_fill():
+    assert mixing.water_fill([10, 100, 1000], [1, 2, 3], 3) == pytest.approx([30, 300, 780])
+    assert mixing.water_fill([5, 5], [1, 1], 3) == [5, 5]
+    assert mixing.water_fill([], [], 3) == []
+    assert sum(mixing.water_fill([0, 7, 1], [1, 2, 3], 3)) == pytest.approx(8)
+
+
+def repeats(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    for b in raw:
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = True
+        spans = int(np.sum(np.diff(np.r_[0, gone.astype(int)]) == 1))
+        yield len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize(("shard", "hot"), [(4 << 20, 1000), (3000, 3)])
+def test_repeated_bytes(docs, none, monkeypatch, shard, hot):
+    monkeypatch.setattr(suffix_dedup, "SHARD", shard)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    named = [r for r in rows() if r[0] is not None]
+    expected = sorted(((r[0], *x) for r, x in zip(named, repeats([r[1] for r in named], 200))), key=repr)
+    assert found(suffix_dedup.without_repeats(docs.where("doc_id is not null"))) == expected
+    assert found(suffix_dedup.without_repeats(none)) == []
+    assert len(found(suffix_dedup.without_repeats(docs.where("doc_id is null")))) == 1
+
+
+def test_parts_of_one_anchor_merge_by_binary_search(monkeypatch):
+    r = random.Random(1)
+    shared = bytes(r.choices(range(97, 123), k=230))
+    stretches = [bytes(r.choices(range(97, 123), k=40)) + shared + bytes(r.choices(range(97, 123), k=40)) for _ in range(40)]
+    for size in (1 << 20, 900):
+        monkeypatch.setattr(suffix_dedup, "SHARD", size)
+        got = set(suffix_dedup._repeats(((7, bytes([k]), 0, s) for k, s in enumerate(stretches)), 200))
+        for k, s in enumerate(stretches):
+            lo = hi = None
+            flags = [any(s[i : i + 200] in o for j, o in enumerate(stretches) if j != k) for i in range(len(s) - 199)]
+            lo, hi = flags.index(True), len(flags) - 1 - flags[::-1].index(True)
+            assert (bytes([k]), lo, hi + 200) in got
+
+
+def test_suffix_array_and_common_prefixes():
+    r = random.Random(2)
+    for data in (bytes(r.choices(b"ab", k=600)), b"abc" * 150, b"z", bytes(r.choices(range(256), k=500))):
+        a = np.frombuffer(data, np.uint8)
+        order = suffix_dedup.suffix_array(a)
+        assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+        for k, n in list(enumerate(suffix_dedup.common_prefixes(a, order, 64).tolist()))[1:]:
+            x, y = data[order[k - 1] :], data[order[k] :]
+            assert n == next((i for i in range(min(64, len(x), len(y))) if x[i] != y[i]), min(64, len(x), len(y)))
+
+
+def test_shards(docs, none):
+    for shards in (1, 5, 40):
+        got = sharding.sharded(docs, shards).toPandas()
+        assert len(got) == len(rows())
+        texts = Counter()
+        for r in rows():
+            texts[hashlib.md5((r[1] or "").encode()).hexdigest()] += len((r[1] or "").encode()) + 16
+        sizes = [n for _, n in sorted(texts.items())]
+
+        def fits(c):
+            n, a = 1, 0
+            for x in sizes:
+                if a + x > c:
+                    n, a = n + 1, 0
+                a += x
+            return n <= shards and max(sizes) <= c
+
+        least = next(c for c in range(max(max(sizes), sum(sizes) // shards), sum(sizes) + 1) if fits(c))
+        assert got.groupby("shard")["size"].sum().max() == least
+        for _, part in got.groupby("shard"):
+            assert sorted(part.slot) == list(range(len(part)))
+        assert (got.groupby("text_crc32").shard.nunique() == 1).all()
+    assert found(sharding.sharded(none)) == []
+
+
+def test_finer_sums_give_the_same_cuts(spark):
+    r = random.Random(5)
+    groups = spark.createDataFrame([(hashlib.md5(str(i).encode()).hexdigest(), r.choice([10, 50, 400])) for i in range(3000)], "key string, size long")
+    whole = sharding.Sums({k: (n, 1) for k, n in map(tuple, groups.collect())})
+    capacity = whole.capacity(7, False)
+    cuts, got = sharding.minimax_cuts(groups, 7)
+    assert got == capacity
+    expected, _ = sharding.balanced_cuts(whole, capacity, 7)
+    shard = lambda k, at: sum(k[: len(c)] > c for c in at)
+    names = [whole.names[c] for c in expected]
+    assert all(shard(k, cuts) == shard(k, names) for k in whole.names)
+
+
+def test_token_counts(docs, none):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    expected = []
+    for r in rows():
+        n = len(library.encode(r[1] or "", add_special_tokens=False).ids)
+        expected.append((r[0], len((r[1] or "").encode()), n, n > 512))
+    assert found(bpe_counts.token_counts(docs, path)) == sorted(expected, key=repr)
+    assert found(bpe_counts.token_counts(none, path)) == []
+    r, counter = random.Random(1), bpe_counts.ByteBpe(path)
+    odd = ["".join(r.choice("ab \n\t'sé1!　​\x1f\x85\xa0aaa<|endoftext|>") for _ in range(r.randint(0, 60))) for _ in range(800)] + ["<|endoftext|>" * 3 + " x <|endoftext|>  "]
+    assert counter.count(odd) == [len(e.ids) for e in library.encode_batch(odd, add_special_tokens=False)]
+
+
+def test_quality_base_rules(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2, None) for i in range(0, 60)] + [(None, 1, 0), (3, None, 1), (4, 5, 0)], "doc_id long, quality int, n_words int")
+    got = quality_llr.quality_rules(docs, labels).select("doc_id", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert len(got) == len(rows())
+    for r in got:
+        w, t = words(r.text), r.text or ""
+        grams = Counter(zip(w, w[1:], w[2:]))
+        covered = {j + d for j in range(len(w) - 2) if grams[tuple(w[j : j + 3])] > 1 for d in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        assert r[2:7] == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
+        assert r.base_failed == (len(w) < 50 or 2 * len(covered) > len(w)) and not (r.kept and r.base_failed)
+    assert quality_llr.quality_rules(none, labels).count() == 0
+    alone = quality_llr.quality_rules(docs, labels.where("false"))
+    assert alone.where("kept = base_failed").count() == 0  # without labels only the base rules reject
+
+
+def test_quality_ratio_parts_junk_from_prose(spark):
+    r = random.Random(4)
+    good, bad = [f"w{k}" for k in range(300)], [f"w{k}###" for k in range(300)]
+    texts = [(i, " ".join(r.choice(bad if i % 4 == 0 else good) for _ in range(120))) for i in range(400)]
+    labels = [(i, int(i % 4 != 0)) for i in range(200)]
+    got = quality_llr.quality_rules(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    held_out = [r.kept == (r.doc_id % 4 != 0) for r in got.where("doc_id >= 200").collect()]
+    assert sum(held_out) / len(held_out) > 0.98
+
+
+def shingles(t, k):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+    return frozenset(zip(*[w[j:] for j in range(k)])) if len(w) >= k else frozenset([tuple(w)] if w else [])
+
+
+def components(texts, ids, k):
+    sets, root = [shingles(t, k) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a + 1, len(sets)):
+            both = len(sets[a] & sets[b])
+            if sets[a] and 100 * both >= 80 * len(sets[a] | sets[b]) and both:
+                root[top(a)] = top(b)
+    least = {}
+    for i, x in zip(ids, range(len(texts))):
+        least[top(x)] = min(i, least.get(top(x), i))
+    return [(i, len(sets[x]), least[top(x)] if sets[x] else i) for x, i in enumerate(ids)]
+
+
+@pytest.mark.parametrize("hot", [None, 2])
+def test_near_duplicates(spark, docs, none, monkeypatch, hot):
+    r = random.Random(9)
+    more, base = [], [f"b{k}" for k in range(90)]
+    for i in range(80):  # a large group of near copies, some of which link only through others
+        w = list(base)
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(len(w))] = f"e{r.randrange(1000)}"
+        more.append((1000 + i, " ".join(w)))
+    common = " ".join(f"c{k}" for k in range(60))
+    more += [(2000 + i, common + " " + " ".join(f"u{i}-{k}" for k in range(r.randint(5, 60)))) for i in range(90)]
+    if hot:
+        monkeypatch.setattr(near_dedup, "HOT_VALUES", 1 << 20)
+    table = docs.select("doc_id", "text").where("doc_id is not null").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    listed = [(x[0], x[1]) for x in rows() if x[0] is not None] + more
+    for k in (4, 5):
+        expected = components([t for _, t in listed], [i for i, _ in listed], k)
+        assert found(near_dedup.near_duplicates(table, k)) == sorted(((i, n, c, i == c) for i, n, c in expected), key=repr)
+    assert found(near_dedup.near_duplicates(none)) == []
+    kept = near_dedup.one_of_each(docs)
+    assert kept.columns == docs.columns
+    expected = {i for i, _, c in components([x[1] for x in rows() if x[0] is not None], [x[0] for x in rows() if x[0] is not None], 5) if i == c}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(expected)
+
+
+def test_decontamination(spark, none):
+    r = random.Random(6)
+    words_ = ["".join(r.choice("aeioustrnlm") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    text = lambda k: " ".join(r.choice(words_) for _ in range(k))
+    items = [(k, text(r.randint(18, 45))) for k in range(30)] + [(99, None), (98, "")]
+    docs, planted = [(None, None), (-1, ""), (-2, " ")], set()
+    for i in range(200):
+        t = text(r.randint(30, 400)).split()
+        if i % 4 == 0:
+            k = r.randrange(30)
+            item = items[k][1].split()
+            if i % 8 == 0:  # a paraphrase: words changed, missing and added
+                item = [w for j, w in enumerate(item) if j % 9 != 4]
+                item[3] = "other"
+                item.insert(7, "added")
+            at = r.randrange(len(t))
+            t[at:at] = item
+            planted.add((i, k))
+        docs.append((i, " ".join(t)))
+    docs.append(docs[7])
+    got = lsi_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    hits = {(x.doc_id, x.item_id) for x in got.collect()}
+    assert len(planted & hits) >= 0.9 * len(planted) and hits <= planted
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert lsi_decontam.contaminated(none, bench).count() == 0
+    assert lsi_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench.where("false")).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>";</script></head><body class="ad-free">
+<header><h1>Site</h1></header><nav><ul><li><a href="/x">menu {k}</a></ul></nav><!-- <article> --><div class='cookie-notice'>We use cookies {k}</div>
+<{tag}><h2>Head &amp; line {k}</h2><p>First <b>bold</b>&nbsp;text<br>goes   on &lt;{k}&gt;<p>Second<aside>side</aside><form><input value=">">Name</form>
+<div class="share">tweet</div><ul><li>a {k}<li>b</ul></{end}><div class="terms">the same on every page</div><div id="comments"><p>nice</p></div><footer>&copy; x</footer></body></html>"""
+
+
+def test_main_text(spark):
+    pages = [(k, "https://h.example/%d" % k, PAGE.format(k=k, tag="article", end="article")) for k in range(6)]
+    pages += [(10 + k, "http://i.example/%d" % k, PAGE.format(k=k, tag="div class=body", end="div")) for k in range(12)]
+    pages += [(30, None, None), (31, "odd", ""), (None, "x://", "plain <b text"), (32, "https://j.example", "<p>lone &eacute;</p>text"), pages[0]]
+    got = {r.page_id: r for r in style_tree.extracted_pages(spark.createDataFrame([(*p, "n", "h") for p in pages], "page_id long, url string, html string, text string, host string")).collect()}
+    for k in range(6):
+        assert got[k].text == f"Head & line {k}\nFirst bold text goes on <{k}>\nSecond\na {k}\nb"
+    for k in range(12):  # no article is marked: what every page repeats goes by its entropy
+        assert got[10 + k].text == f"Head & line {k}\nFirst bold text goes on <{k}>\nSecond\na {k}\nb"
+    assert got[30].text == got[31].text == "" and got[32].text == "lone é\ntext"
+    assert all(r.n_chars == len(r.text) for r in got.values())
+    assert style_tree.extracted_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert html.unescape("&copy;") == "©"
+
+
+def test_secret_scan(spark, none):
+    labelled = secret_scan.labelled_findings(spark)
+    model = secret_scan.trained(labelled)
+    held_out = secret_scan.labelled_findings(spark, 2000, seed=77)
+    from pyspark.ml.feature import VectorAssembler
+
+    told = model.transform(VectorAssembler(inputCols=secret_scan.FEATURES, outputCol="features").transform(secret_scan.with_features(held_out)))
+    assert told.where("prediction = label").count() / told.count() > 0.95
+    texts = [
+        (1, 'the token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and', "src1"),
+        (2, "see commit 24be64439e3e49cf46b2d7c90f3602a3d0b907ff for the page_title_2023 field", None),
+        (3, None, None),
+        (4, "", "x"),
+        (None, "password: Zx81kQ02mPq7Vw99aa", "app/settings.py"),
+    ]
+    df = spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, source string, secret string")
+    got = secret_scan.findings(df, model).collect()
+    for r in got:
+        t = next(t for i, t, _ in texts if i == r.doc_id)
+        assert hashlib.sha256(t[r.start : r.start + r.n_chars].encode()).hexdigest() == r.secret_sha256
+    verdict = {(r.doc_id, r.start): r.is_secret for r in got}
+    assert verdict[1, 13] and not verdict[2, 11] and verdict[None, 10]
+    assert secret_scan.findings(none, model).count() == 0
+
+
+@pytest.fixture(scope="module")
+def small(tmp_path_factory, spark):
+    at = tmp_path_factory.mktemp("sf")
+    for name in ("documents", "labels", "benchmark"):
+        source = Path("/root/testdata/sf0.001")
+        if not source.exists():
+            pytest.skip("no test tables")
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+def test_pipeline(spark, small):
+    import corpus_pipeline as p
+
+    docs, seen = p.table(spark, small, "documents"), []
+    for _, f in p.STAGES[:-1]:
+        docs = p.stage(f(spark, docs, small), "test")
+        assert docs.columns == p.COLUMNS
+        seen.append([r.doc_id for r in docs.collect()])
+    assert set(seen[1]) <= set(seen[0]) and set(seen[2]) <= set(seen[1]) and set(seen[3]) <= set(seen[2])
+    assert len(set(seen[1])) == len(seen[1])
+    out = p.STAGES[-1][1](spark, docs, small)
+    assert out.count() == len(seen[3])
+    assert found(p.run(spark, small)) == found(out)
