@@ -5,10 +5,10 @@ equal sets form a class at once. Each class keeps the least hashes of its set; i
 give candidate pairs, an estimate from the sketch of the union drops hopeless ones, and the exact Jaccard coefficient of
 the full sets confirms the rest. Links make components.
 
-No list is expanded into all its pairs at once. First each member of a list meets the list's head; the confirmed links
-give components; then only members of different components meet. So every pair of a list is either confirmed, refuted, or
-already in one component, and no link is lost. Values in very many lists (at most 65,536 such values by construction of
-the threshold) are ordered last in every set, so a passage that many texts share does not bring unrelated ones together;
+No list is expanded into all its pairs at once. First each member of a list meets one of its members, in two rounds; the
+confirmed links give components; then only members of different components meet. So every pair of a list is either
+confirmed, refuted, or already in one component, and no link is lost. Values in long lists (65,536 values at most) are
+ordered last in every set, so a passage that many texts share does not bring unrelated ones together;
 a set with such a value retains its whole prefix of ``n - ceil(0.8 n) + 1`` values, with which no partner can be missed.
 
 Other sets retain the first 24 of that prefix: two sets with a Jaccard coefficient of 0.8 share none of them with a
@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import stage, text_shingles
 from .graph import components
 
-RETAINED, SKETCH, HOT_VALUES = 24, 64, 65_536
+RETAINED, SKETCH = 24, 64
+#: Values in lists of more than LIST members go last, the largest lists first, as many as a broadcast table may hold.
+LIST, HOT_VALUES, DEMOTIONS = 16, 65_536, 4
+#: Rounds in which each list's members meet one of it before all that are still apart meet.
+STARS = 2
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -119,7 +123,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     class; a null doc_id stays null, is linked only through equal sets and takes no part in the least id. Other columns
     of docs are ignored; an empty table gives an empty table.
     """
-    k = words
+    k, spark = words, docs.sparkSession
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, node binary, n long, sketch binary"
     ids = F.col("doc_id").cast("long").alias("doc_id")
@@ -137,45 +141,69 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             yield pa.record_batch([pa.array(value), batch.column(0).take(row), batch.column(1).take(row)], ["value", "node", "n"])
 
     postings = stage(sketches.mapInArrow(first, "value long, node binary, n long"), "postings")
-    lists = stage(postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "lists")
-    least = max(64, postings.count() // HOT_VALUES)
-    hot = lists.where(F.col("members") > least).select("value")
-    hot_values = np.sort(np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64))  # at most HOT_VALUES by the threshold
     # a class is read once more where its text is needed: the rows of its least doc_id, one for each class
     near = lambda nodes: (
         docs.select(ids, "text")
         .join(sets.where("node is not null").select("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node"), "doc_id")
     )
-    if len(hot_values):
+    # values in many lists go last in every set; what moves up in their place may be in many lists as well
+    hot_values = np.zeros(0, np.uint64)
+    for _ in range(DEMOTIONS):
+        lists = stage(postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LIST), "lists")
+        fresh = lists if not len(hot_values) else lists.join(F.broadcast(_as_frame(spark, hot_values)), "value", "left_anti")
+        room = HOT_VALUES - len(hot_values)
+        sizes = sorted(map(tuple, fresh.groupBy("members").count().collect()), reverse=True)
+        least = LIST
+        for members, n in sizes:  # the largest lists that the table has room for
+            room -= n
+            if room < 0:
+                least = members
+                break
+        hot = stage(fresh.where(F.col("members") > least).select("value"), "hot")
+        new = np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)  # at most HOT_VALUES
+        if not len(new):
+            break
+        hot_values = np.sort(np.concatenate([hot_values, new]))
         touched = stage(postings.join(F.broadcast(hot), "value", "left_semi").select("node").distinct(), "touched")
-        # rows of one doc_id with several texts: the key of the text itself decides
         again = near(touched).mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"])
         values = hot_values.tobytes()
-        again = again.select("node", "n", "text").mapInArrow(lambda it: _postings(it, k, values, percent), "value long, node binary, n long")
+        again = again.select("node", "n", "text").mapInArrow(lambda it, values=values: _postings(it, k, values, percent), "value long, node binary, n long")
         postings = stage(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
-    heads = postings.groupBy("value").agg(F.min(F.struct("n", "node")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
-    heads = heads.select("value", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
-    joined = stage(postings.join(heads, "value"), "listed")
-    fit = lambda small, large: F.col(small) * 100 >= F.col(large) * percent
-    star = joined.where((F.col("node") != F.col("head")) & fit("head_n", "n")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    star = stage(star, "star")
+    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("value")
+    listed = stage(postings.join(shared, "value"), "listed")
+    fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
     def texts(pairs):
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         return near(nodes).mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"])
 
-    links = stage(_confirmed(star, sketches, texts(star), k, percent), "confirmed")
-    roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    def met(pairs, before):
+        """The new links among candidate pairs (a, na, b, nb)."""
+        pairs = pairs.where((F.col("a") != F.col("b")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+        links = stage(_confirmed(pairs, sketches, texts(pairs), k, percent), "confirmed")
+        return pairs if before is None else before.unionByName(pairs), links
+
+    def rooted():
+        out = listed if roots is None else listed.join(roots, "node", "left")
+        return stage(out.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node")), "rooted")
+
+    roots = links = seen = None
+    for turn in range(STARS):
+        told = rooted()
+        heads = told.groupBy("value").agg(F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("h"))
+        star = told.join(heads, "value").where(F.col("root") != F.col("h.root"))
+        seen, found = met(star.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("h.node").alias("b"), F.col("h.n").alias("nb")), seen)
+        links = found if links is None else links.unionByName(found)
+        roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     # members of one list that are still apart
-    told = joined.select("value", "node", "n", "head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    told = stage(told, "told")
-    mixed = told.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("members")).where((F.col("lo") != F.col("hi")) & (F.col("members") > 2)).select("value")
-    apart = told.where(F.col("node") != F.col("head")).join(mixed, "value", "left_semi")
+    told = rooted()
+    mixed = told.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
+    apart = told.join(mixed, "value", "left_semi")
     x = apart.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
     y = apart.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, (x["value"] == y["value"]) & (x["ra"] != y["rb"]) & (x["a"] < y["b"]) & fit("na", "nb") & fit("nb", "na")).select("a", "b").distinct()
-    rest = stage(rest.join(star, ["a", "b"], "left_anti"), "rest")
-    more = stage(_confirmed(rest, sketches, texts(rest), k, percent), "confirmed")
+    rest = x.join(y, (x["value"] == y["value"]) & (x["ra"] != y["rb"]) & (x["a"] < y["b"]) & fit)
+    _, more = met(rest.select("a", "na", "b", "nb"), seen)
     if more.head(1):
         every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stage(components(every), "roots")
@@ -187,6 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
+def _as_frame(spark, values: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "value long")
+
+
 def _own(batches, k: int):
     """The rows whose text has the class that was asked for."""
     for batch in batches:
