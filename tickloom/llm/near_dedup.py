@@ -5,7 +5,7 @@ equal sets form a class at once. Each class keeps the least hashes of its set; i
 give candidate pairs, an estimate from the sketch of the union drops hopeless ones, and the exact Jaccard coefficient of
 the full sets confirms the rest. Links make components.
 
-No list is expanded into all its pairs at once. First each member of a list meets one of its members, in two rounds; the
+No list is expanded into all its pairs at once. First each member of a list meets one of its members; the
 confirmed links give components; then only members of different components meet. So every pair of a list is either
 confirmed, refuted, or already in one component, and no link is lost. Values in long lists (65,536 values at most) are
 ordered last in every set, so a passage that many texts share does not bring unrelated ones together;
@@ -30,8 +30,8 @@ from .graph import components
 RETAINED, SKETCH = 24, 64
 #: Values in lists of more than LIST members go last, the largest lists first, as many as a broadcast table may hold.
 LIST, HOT_VALUES, DEMOTIONS = 16, 65_536, 4
-#: Rounds in which each list's members meet one of it before all that are still apart meet.
-STARS = 2
+#: Rounds in which the members of each list meet one of them before all that are still apart meet.
+STARS = 1
 
 
 def prefix_length(n: int, percent: int) -> int:
