@@ -128,7 +128,7 @@ def _(spark, sf_dir):
 FILLED = """ UNION ALL SELECT symbol, t AS time, close AS open, close AS high, close AS low, close, 0 AS volume, close AS vwap, 0 AS trades
  FROM (SELECT *, unnest({times}) AS t FROM (SELECT *, lead(time) OVER (PARTITION BY symbol ORDER BY time) AS following FROM b))"""
 SESSION_END = "CAST(epoch(timezone('America/New_York', date_trunc('day', timezone('America/New_York', to_timestamp(time))) + INTERVAL 960 MINUTE)) AS BIGINT)"
-FILL_SESSION = FILLED.format(times=f"range(time + 1800, greatest(least(following, {SESSION_END}), time + 1), 1800)")
+FILL_SESSION = FILLED.format(times=f"range(time + 1800, CASE WHEN following IS NULL THEN time ELSE least(following, {SESSION_END}) END, 1800)")
 FILL_HOURS = "open_at + (time - open_at) // 1800 * 1800"
 
 

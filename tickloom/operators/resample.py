@@ -70,7 +70,8 @@ def forward_fill(bars: DataFrame, every: str | Interval, clock: Clock) -> DataFr
     first, stop = next_bucket(F.col("time"), every, clock), F.col("__next")
     if every.seconds is not None:
         if clock.session is not None:
-            stop = F.least(stop, clock.session.open_of(F.col("time")) + clock.session.seconds)
+            close = clock.session.open_of(F.col("time")) + clock.session.seconds
+            stop = F.when(stop.isNotNull(), F.least(stop, close))  # nothing follows the last bar
         times = F.when(stop > first, F.sequence(first, stop - 1, F.lit(every.seconds).cast("long")))
         gaps = b.withColumn("__t", F.explode(times))
     else:  # calendar buckets: whole counts of the unit from the bar's own bucket on
