@@ -133,6 +133,15 @@ class Items:
         # divided by its own squared length: a passage's cosine with itself is 1 in any basis
         self.vectors = v / np.maximum((v**2).sum(1), 1e-6)[:, None]
         self.item = np.array(self.item, np.int64)
+        # for each item, the places of its distinct words in the vocabulary of all items
+        self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        self.place = np.full((len(self.words), len(self.vocabulary)), -1, np.int16)
+        self.least = []
+        for k, w in enumerate(self.words):
+            own = np.unique(w)
+            self.place[k, np.searchsorted(self.vocabulary, own)] = np.arange(len(own))
+            # a subsequence of so many words has so many distinct ones at least
+            self.least.append(COMMON * len(w) - (len(w) - len(own)))
         self.masks = []
         for w in self.words:
             masks: dict[int, int] = {}
@@ -140,6 +149,11 @@ class Items:
                 masks[x] = masks.get(x, 0) | 1 << k
             self.masks.append(masks)
 
+    def possible(self, k: int, known: np.ndarray) -> bool:
+        """Whether the vocabulary words of a stretch can hold enough of item k."""
+        own = self.place[k, known]
+        return len(set(own.tolist()) - {-1}) >= self.least[k]
+
     def common(self, k: int, words: np.ndarray) -> tuple[int, int]:
         """Words of item k in its longest common subsequence with words, and how many of its last words that holds at most."""
         n = len(self.words[k])
@@ -177,6 +191,10 @@ def _hits(batches, bench: list, idf: np.ndarray, basis: np.ndarray):
             norm = _windows(np.add.reduceat(square[b], first), text)
             latent /= np.sqrt(norm)[:, None] + 1e-9
             starts = np.searchsorted(owner, np.arange(j - i + 1))
+            at_word = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
+            known_at = np.flatnonzero(items.vocabulary[at_word] == h)
+            known = at_word[known_at]
+            before = np.searchsorted(known_at, np.arange(len(h) + 1)).tolist()  # vocabulary words before each word
             best: dict[tuple[int, int], tuple] = {}
             for at in range(0, len(latent), 4096):
                 cosine = latent[at : at + 4096] @ items.vectors.T
@@ -187,6 +205,8 @@ def _hits(batches, bench: list, idf: np.ndarray, basis: np.ndarray):
                     z = min(int(starts[t + 1]), int(first[at + w]) + WINDOW + n)
                     if (old := best.get((t, k))) and (old[0] >= 1 or old[3] <= a and z <= old[4]):
                         continue
+                    if before[z] - before[a] < items.least[k] or not items.possible(k, known[before[a] : before[z]]):
+                        continue
                     lcs, held = items.common(k, h[a:z])
                     share, answer = lcs / n, held / answer_length(n)
                     if share >= COMMON and answer >= ANSWER and (not old or share > old[0]):
