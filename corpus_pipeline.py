@@ -16,7 +16,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the log-likelihood ratio reject go."""
-    return quality_llr.quality_rules(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
+    judged = quality_llr.quality_rules(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).select(*COLUMNS, "kept")
+    # written first: a filter on the verdict would be pushed below it and repeat its expressions for every word
+    return stage(judged, "judged").where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
