@@ -30,6 +30,8 @@ from .graph import components
 RETAINED, SKETCH = 24, 64
 #: Values in lists of more than LIST members go last, the largest lists first, as many as a broadcast table may hold.
 LIST, HOT_VALUES, DEMOTIONS = 16, 65_536, 4
+#: What a block of nodes holds at most: members, and shingles of them all (one larger text is alone).
+CELL_MEMBERS, CELL_SHINGLES = 256, 1 << 18
 #: Rounds in which the members of each list meet one of them before all that are still apart meet.
 STARS = 1
 
@@ -78,41 +80,103 @@ def _postings(batches, k: int, hot: bytes, percent: int):
         yield pa.record_batch([pa.array(value.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], ["value", "node", "n"])
 
 
-def _estimates(batches, percent: int):
-    """Keeps the pairs whose union sketch does not rule out the similarity."""
+def _sketch_table(data: pa.Array, _k: int) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in data.to_pylist()]
+
+
+def _likely(sets: list[np.ndarray], percent: int):
+    """Tells of pairs of these sketches whether the sketch of the union does not rule out the similarity."""
+    none, size = np.uint64((1 << 64) - 1), np.array([len(x) for x in sets])
+    table = np.full((len(sets), SKETCH), none)
+    for row, x in zip(table, sets):
+        row[: len(x)] = x
+
+    def verdict(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for i in range(0, len(a), 4096):
+            x, y = a[i : i + 4096], b[i : i + 4096]
+            both = np.sort(np.concatenate([table[x], table[y]], axis=1), axis=1)
+            twice = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none)
+            new = both != none
+            new[:, 1:] &= ~twice
+            rank = np.cumsum(new, axis=1)
+            whole = (size[x] < SKETCH) & (size[y] < SKETCH)
+            k = np.where(whole, rank[:, -1], np.minimum(size[x], size[y]))
+            shared = (twice & (rank[:, 1:] <= k[:, None])).sum(axis=1)
+            deviation = np.sqrt(percent / 100 * (1 - percent / 100) / k)
+            keep[i : i + 4096] = np.where(whole, 100 * shared >= percent * k, shared / k >= percent / 100 - 5 * deviation)
+        return keep
+
+    return verdict
+
+
+def _full_table(data: pa.Array, k: int) -> list[np.ndarray]:
+    return list(text_shingles(data, k))
+
+
+def _linked(sets: list[np.ndarray], percent: int):
+    """Tells of pairs of these full sets whether they are links; a bit for each value that two sets at least hold."""
+    size = np.array([len(x) for x in sets])
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    width = -(-int((times > 1).sum()) // 64) * 64 or 64
+    bits = np.zeros((len(sets), width // 64), np.uint64)
+    for row, own in zip(bits, np.split(at, np.cumsum(size)[:-1])):
+        dense = np.zeros(width, bool)
+        dense[place[own[times[own] > 1]]] = True
+        row[:] = np.packbits(dense).view(np.uint64)
+    step = max(1, (1 << 21) // bits.shape[1])
+
+    def verdict(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keep = np.zeros(len(a), bool)
+        for i in range(0, len(a), step):
+            x, y = a[i : i + step], b[i : i + step]
+            shared = np.bitwise_count(bits[x] & bits[y]).sum(axis=1, dtype=np.int64)
+            keep[i : i + step] = 100 * shared >= percent * (size[x] + size[y] - shared)
+        return keep
+
+    return verdict
+
+
+def _cells(batches, k: int, percent: int, read, judge):
+    """The pairs that the judge keeps. Rows come cell by cell, the members of a cell before its pairs."""
+    cell, names, sets, verdict = None, {}, [], None
     for batch in batches:
-        a, b, na, nb = (batch.column(i).to_pylist() for i in (2, 3, 4, 5))
-        keep = []
-        for x, y, nx, ny in zip(a, b, na, nb):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            union = np.union1d(x, y)
-            whole = nx <= SKETCH and ny <= SKETCH
-            k = len(union) if whole else min(len(x), len(y), SKETCH)
-            low = union[:k]
-            shared = len(np.intersect1d(np.intersect1d(low, x, True), y, True))
-            deviation = (percent / 100 * (1 - percent / 100) / k) ** 0.5
-            keep.append(100 * shared >= percent * k if whole else shared / k >= percent / 100 - 5 * deviation)
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _exact(batches, k: int, percent: int):
-    """Confirms pairs by the full sets of both texts."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(text_shingles(batch.column(2), k), text_shingles(batch.column(3), k)):
-            shared = len(np.intersect1d(x, y, True))
-            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b) of the candidate pairs that are links."""
-    side = lambda x: sketches.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
-    told = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "na", "nb")
-    likely = stage(told.mapInArrow(lambda it: _estimates(it, percent), "a binary, b binary"), "likely")
-    text = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}"))
-    full = likely.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb")
-    return full.mapInArrow(lambda it: _exact(it, k, percent), "a binary, b binary")
+        cells, pair = batch.column(0).to_numpy(), batch.column(1).to_numpy() == 1
+        keep = np.zeros(len(cells), bool)
+        edges = [0, *(np.flatnonzero(np.diff(cells)) + 1).tolist(), len(cells)] if len(cells) else []
+        for s, e in zip(edges[:-1], edges[1:]):
+            if cells[s] != cell:
+                cell, names, sets, verdict = cells[s], {}, [], None
+            m = e - int(pair[s:e].sum())
+            if m > s:
+                for node in batch.column(2).slice(s, m - s).to_pylist():
+                    names[node] = len(names)
+                sets += read(batch.column(4).slice(s, m - s), k)
+            if e > m:
+                verdict = verdict or judge(sets, percent)
+                a, b = (np.array([names[x] for x in batch.column(c).slice(m, e - m).to_pylist()]) for c in (2, 3))
+                keep[m:e] = verdict(a, b)
+        yield batch.select(["a", "b", "cell"]).filter(pa.array(keep))
+
+
+def _blocks(listed: DataFrame) -> DataFrame:
+    """(node, block) of members of lists: those of a node's longest list, in parts of a bounded number and total size."""
+    top = listed.groupBy("node").agg(F.max(F.struct("members", "value", "total")).alias("t"))
+    parts = F.greatest(F.ceil(F.col("t.members") / CELL_MEMBERS), F.ceil(F.col("t.total") / CELL_SHINGLES))
+    return top.select("node", F.xxhash64("t.value", F.pmod(F.xxhash64("node"), parts)).alias("block"))
+
+
+def _in_cells(pairs: DataFrame, held: DataFrame, k: int, percent: int, read, judge) -> DataFrame:
+    """The pairs (a, b, cell) that the judge keeps by what is held (node, data) of both.
+
+    A cell is a pair of blocks. What is held of a node goes once to each cell that has a pair of it, not to each pair.
+    """
+    named = pairs.select("cell", F.explode(F.array("a", "b")).alias("node")).distinct().join(held, "node")
+    named = named.select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "data")
+    rows = named.unionByName(pairs.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(held.schema["data"].dataType).alias("data")))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", "kind")
+    return rows.mapInArrow(lambda it: _cells(it, k, percent, read, judge), "a binary, b binary, cell long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -169,19 +233,27 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         values = hot_values.tobytes()
         again = again.select("node", "n", "text").mapInArrow(lambda it, values=values: _postings(it, k, values, percent), "value long, node binary, n long")
         postings = stage(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
-    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("value")
+    shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
     listed = stage(postings.join(shared, "value"), "listed")
+    blocks = stage(_blocks(listed), "blocks")
+    listed = listed.select("value", "node", "n")
+    block = lambda x: blocks.select(F.col("node").alias(x), F.col("block").alias(f"b{x}"))
     fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
     def texts(pairs):
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return near(nodes).mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"])
+        return near(nodes).mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"]).select("node", F.col("text").alias("data"))
 
     def met(pairs, before):
         """The new links among candidate pairs (a, na, b, nb)."""
         pairs = pairs.where((F.col("a") != F.col("b")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(pairs if before is None else pairs.join(before, ["a", "b"], "left_anti"), "pairs")
-        links = stage(_confirmed(pairs, sketches, texts(pairs), k, percent), "confirmed")
+        pairs = pairs if before is None else pairs.join(before, ["a", "b"], "left_anti")
+        cell = F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("cell")
+        pairs = stage(pairs.join(block("a"), "a").join(block("b"), "b").select("a", "b", cell), "pairs")
+        held = sketches.select("node", F.col("sketch").alias("data"))
+        likely = stage(_in_cells(pairs, held, k, percent, _sketch_table, _likely), "likely")
+        links = stage(_in_cells(likely, texts(likely), k, percent, _full_table, _linked).select("a", "b"), "confirmed")
+        pairs = pairs.select("a", "b")
         return pairs if before is None else before.unionByName(pairs), links
 
     def rooted():
