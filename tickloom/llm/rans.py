@@ -9,6 +9,7 @@ next has its own CRC-32, and the document ids and lengths have theirs.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -107,12 +108,15 @@ class Coder:
 
 _ENCODERS: dict[str, _Words] = {}
 _SEPARATOR = "\x01"
+#: Letters of Latin-1 and then marks of ASCII but the apostrophe: the pre-tokenizer parts the two, and the letters count in lower case.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
-class _Words(dict):
+class _Words:
     """Ids of the pieces between blanks, as little-endian 16- or 32-bit bytes, encoded by the library when first seen.
 
-    Only for tokenizers that drop white space and treat what stands between it alone.
+    Only for tokenizers that drop white space, lower-case, and part letters from marks. Plain words share the entry of
+    their lower-case letters, so that the library sees each of those once.
     """
 
     MOST = 1_000_000  # pieces kept by a Python worker
@@ -120,49 +124,74 @@ class _Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}  # no subclass: set.difference is quick with plain ones only
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
         mark = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
     def learn(self, pieces: list[str]) -> None:
-        if len(self) + len(pieces) > self.MOST:
-            self.clear()
+        """Adds the pieces; those learned before may be forgotten."""
+        if len(self.known) + len(pieces) > self.MOST:
+            self.known.clear()
+        made, wanted = [], {}
+        for piece in pieces:
+            if plain := _PLAIN.fullmatch(piece):
+                letters, marks = plain[1].lower(), plain[2]
+                made.append((piece, letters, marks))
+                wanted[letters] = wanted[marks] = None
+            else:
+                wanted[piece] = None
+        self._encode([w for w in wanted if w not in self.known])
+        for piece, letters, marks in made:
+            self.known[piece] = self.known[letters] + self.known[marks]
+
+    def _encode(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if _SEPARATOR not in p] if self.mark is not None else []
-        for i in range(0, len(plain), 4096):
-            some = plain[i : i + 4096]
-            ids = np.array(self.tokenizer.encode(f" {_SEPARATOR} ".join(some), add_special_tokens=False).ids, np.int64)
-            parts = np.split(ids, np.flatnonzero(ids == self.mark))
-            if len(parts) != len(some):
-                break
-            for k, (piece, got) in enumerate(zip(some, parts)):
-                self[piece] = (got[1:] if k else got).astype(self.dtype).tobytes()
+        parts = [plain[i : i + 4096] for i in range(0, len(plain), 4096)]
+        joined = self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(x) for x in parts], add_special_tokens=False)
+        width = np.dtype(self.dtype).itemsize
+        for some, encoded in zip(parts, joined):
+            ids = np.array(encoded.ids, self.dtype)
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            if len(ends) != len(some):  # a piece holds the separator's own id
+                continue
+            raw, at = ids.tobytes(), 0
+            for piece, end in zip(some, (ends * width).tolist()):
+                self.known[piece] = raw[at:end]
+                at = end + width
         for piece in pieces:
-            if piece not in self:
-                self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+            if piece not in self.known:
+                self.known[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def ids(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:
+            self.learn(list(set(pieces).difference(self.known)))
+        try:
+            return b"".join(map(self.known.__getitem__, pieces))
+        except KeyError:  # learning forgot the others
+            self.learn(list(set(pieces)))
+            return b"".join(map(self.known.__getitem__, pieces))
 
 
 def _tokenised(batches, path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    known = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Words(path))
+    words = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Words(path))
+    end = np.array([END_ID], words.dtype).tobytes()
     for batch in batches:
         texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
-        out, end, i = [], np.array([END_ID], known.dtype).tobytes(), 0
+        out, i = [], 0
         while i < len(texts):
-            j, new = i, {}
+            j, new = i, set()
             while j < len(texts) and len(new) < 50_000:
-                new.update((w, None) for w in texts[j] if w not in known)
+                new.update(set(texts[j]).difference(words.known))
                 j += 1
-            known.learn(list(new))
-            if len(known) < len(new):
-                new = {w: None for t in texts[i:j] for w in t if w not in known}
-                known.learn(list(new))
-            for t in texts[i:j]:
-                if any(w not in known for w in t):
-                    known.learn(list({w for w in t if w not in known}))
-                out.append(b"".join([known[w] for w in t]) + end)
+            words.learn(list(new))
+            out += [words.ids(t) + end for t in texts[i:j]]
             i = j
         yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
