@@ -108,6 +108,8 @@ class Coder:
 
 _ENCODERS: dict[str, _Words] = {}
 _SEPARATOR = "\x01"
+#: New pieces, and pieces of whole texts, that a Python worker holds before it encodes them.
+NEW, HELD = 50_000, 300_000
 #: Letters of Latin-1 and then marks of ASCII but the apostrophe: the pre-tokenizer parts the two, and the letters count in lower case.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -183,16 +185,17 @@ def _tokenised(batches, path: str):
     words = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Words(path))
     end = np.array([END_ID], words.dtype).tobytes()
     for batch in batches:
-        texts = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
-        out, i = [], 0
-        while i < len(texts):
-            j, new = i, set()
-            while j < len(texts) and len(new) < 50_000:
-                new.update(set(texts[j]).difference(words.known))
-                j += 1
-            words.learn(list(new))
-            out += [words.ids(t) + end for t in texts[i:j]]
-            i = j
+        out, held, size, new = [], [], 0, set()
+        texts = batch.column(1).to_pylist()
+        for i, text in enumerate(texts):
+            pieces = (text or "").replace("\n", " ").split(" ")
+            held.append(pieces)
+            size += len(pieces)
+            new.update(set(pieces).difference(words.known))
+            if len(new) >= NEW or size >= HELD or i == len(texts) - 1:
+                words.learn(list(new))
+                out += [words.ids(x) + end for x in held]
+                held, size, new = [], 0, set()
         yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
 
 
