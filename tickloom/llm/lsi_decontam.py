@@ -26,6 +26,7 @@ RANK = 64
 WINDOW, STEP = 32, 8
 COSINE, COMMON, ANSWER = 0.35, 0.6, 0.5
 _PART = 512  # buckets in a row of the summed product
+_AT_ONCE = 1 << 22  # numbers that a check of candidates holds
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -54,6 +55,19 @@ def _window_bounds(owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndar
     return starts[:-1][text] + place * STEP, text
 
 
+def _sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray, most: int) -> np.ndarray:
+    """Sums of the table's rows over runs of `most` at most; the table's last row is zero."""
+    lengths = np.diff(np.append(first, len(rows)))
+    out = table[rows[first]]
+    for d in range(1, most):
+        out += table[np.where(lengths > d, rows[np.minimum(first + d, len(rows) - 1)], len(table) - 1)]
+    return out
+
+
+def _with_zero(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros_like(table[:1])])
+
+
 def _windows(blocks: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Sums over WINDOW words from each block on, within its text."""
     out = blocks.copy()
@@ -66,8 +80,8 @@ def _windows(blocks: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _products(batches, idf: np.ndarray, buckets: int, rank: int):
     """Partial A' (A R) of the passages (blocks of WINDOW words without overlap)."""
     random = np.random.default_rng(11).standard_normal((buckets, rank)).astype(np.float32)
-    weighted = random * idf[:, None]
-    total = np.zeros((rank, buckets))
+    weighted = _with_zero(random * idf[:, None])
+    total = np.zeros((buckets, rank))
     for batch in batches:
         for i, j, data, offsets in text_chunks(batch.column(0), 1 << 18):
             _, _, h, owner = word_hashes(data, offsets, True)
@@ -79,13 +93,13 @@ def _products(batches, idf: np.ndarray, buckets: int, rank: int):
             new = np.flatnonzero((place % WINDOW) == 0)
             passage = np.cumsum((place % WINDOW) == 0) - 1
             norm = np.sqrt(np.add.reduceat(idf[b] ** 2, new)) + 1e-9
-            y = np.add.reduceat(weighted[b], new, axis=0) / (norm**2)[:, None]
-            order = np.argsort(b, kind="stable")
+            y = _sums(weighted, b, new, WINDOW) / (norm**2)[:, None]
+            order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")  # 16 bits: a radix sort
             sorted_b = b[order]
             first = np.flatnonzero(np.r_[True, sorted_b[1:] != sorted_b[:-1]])
             sums = np.add.reduceat(y[passage[order]], first, axis=0)
-            total[:, sorted_b[first]] += (sums * idf[sorted_b[first]][:, None]).T
-    parts = total.T.astype(np.float32).reshape(-1, _PART * rank)
+            total[sorted_b[first]] += sums * idf[sorted_b[first]][:, None]
+    parts = total.astype(np.float32).reshape(-1, _PART * rank)
     yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "sums"])
 
 
@@ -142,6 +156,8 @@ class Items:
             self.place[k, np.searchsorted(self.vocabulary, own)] = np.arange(len(own))
             # a subsequence of so many words has so many distinct ones at least
             self.least.append(COMMON * len(w) - (len(w) - len(own)))
+        self.least = np.array(self.least, float)
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.masks = []
         for w in self.words:
             masks: dict[int, int] = {}
@@ -149,10 +165,20 @@ class Items:
                 masks[x] = masks.get(x, 0) | 1 << k
             self.masks.append(masks)
 
-    def possible(self, k: int, known: np.ndarray) -> bool:
-        """Whether the vocabulary words of a stretch can hold enough of item k."""
-        own = self.place[k, known]
-        return len(set(own.tolist()) - {-1}) >= self.least[k]
+    def possible(self, k: np.ndarray, lo: np.ndarray, hi: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Of stretches known[lo:hi] of vocabulary words, whether each can hold enough of its item k."""
+        out = hi - lo >= self.least[k]
+        some, width = np.flatnonzero(out), max(map(len, self.words))
+        part = np.cumsum(hi[some] - lo[some] + width) // _AT_ONCE
+        for one in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
+            sizes = hi[one] - lo[one]
+            row = np.repeat(np.arange(len(one)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes - lo[one], sizes)
+            place = self.place[k[one][row], known[at]]
+            seen = np.zeros((len(one), width), bool)
+            seen[row[place >= 0], place[place >= 0]] = True
+            out[one] = seen.sum(1) >= self.least[k[one]]
+        return out
 
     def common(self, k: int, words: np.ndarray) -> tuple[int, int]:
         """Words of item k in its longest common subsequence with words, and how many of its last words that holds at most."""
@@ -176,7 +202,7 @@ def answer_length(n: int) -> int:
 
 def _hits(batches, bench: list, idf: np.ndarray, basis: np.ndarray):
     items = Items(bench, idf, basis)
-    table = basis * idf[:, None]
+    table = _with_zero(basis * idf[:, None])
     square = (idf**2).astype(np.float32)
     schema = pa.schema([("row", pa.int64()), ("item_id", pa.int64()), ("common", pa.float64()), ("answer", pa.float64()), ("cosine", pa.float64()), ("first_word", pa.int64())])
     for batch in batches:
@@ -187,26 +213,26 @@ def _hits(batches, bench: list, idf: np.ndarray, basis: np.ndarray):
                 continue
             b = _bucket(h, len(idf))
             first, text = _window_bounds(owner, j - i)
-            latent = _windows(np.add.reduceat(table[b], first, axis=0), text)
+            latent = _windows(_sums(table, b, first, STEP), text)
             norm = _windows(np.add.reduceat(square[b], first), text)
             latent /= np.sqrt(norm)[:, None] + 1e-9
             starts = np.searchsorted(owner, np.arange(j - i + 1))
             at_word = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
             known_at = np.flatnonzero(items.vocabulary[at_word] == h)
             known = at_word[known_at]
-            before = np.searchsorted(known_at, np.arange(len(h) + 1)).tolist()  # vocabulary words before each word
+            before = np.searchsorted(known_at, np.arange(len(h) + 1))  # vocabulary words before each word
             best: dict[tuple[int, int], tuple] = {}
             for at in range(0, len(latent), 4096):
                 cosine = latent[at : at + 4096] @ items.vectors.T
-                for w, q in zip(*(x.tolist() for x in np.nonzero(cosine >= COSINE))):
-                    t, k = int(text[at + w]), int(items.item[q])
+                w, q = np.nonzero(cosine >= COSINE)
+                t, k = text[at + w], items.item[q]
+                a = np.maximum(starts[t], first[at + w] - items.lengths[k])
+                z = np.minimum(starts[t + 1], first[at + w] + WINDOW + items.lengths[k])
+                left = np.flatnonzero(items.possible(k, before[a], before[z], known))
+                for w, q, t, k, a, z in zip(*(x[left].tolist() for x in (w, q, t, k, a, z))):
                     n = len(items.words[k])
-                    a = max(int(starts[t]), int(first[at + w]) - n)
-                    z = min(int(starts[t + 1]), int(first[at + w]) + WINDOW + n)
                     if (old := best.get((t, k))) and (old[0] >= 1 or old[3] <= a and z <= old[4]):
                         continue
-                    if before[z] - before[a] < items.least[k] or not items.possible(k, known[before[a] : before[z]]):
-                        continue
                     lcs, held = items.common(k, h[a:z])
                     share, answer = lcs / n, held / answer_length(n)
                     if share >= COMMON and answer >= ANSWER and (not old or share > old[0]):
