@@ -341,6 +341,23 @@ def test_main_text(spark):
     assert html.unescape("&copy;") == "©"
 
 
+def own_texts(spark, pages):
+    rows = [(k, f"https://h.example/{k}", f"<html><body>{p}</body></html>") for k, p in enumerate(pages)]
+    return [r.text for r in style_tree.extracted_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("held", [100_000, 0])
+def test_importance_decides_on_pages_with_an_article(spark, monkeypatch, held):
+    monkeypatch.setattr(style_tree, "BROADCAST_NODES", held)
+    page = "<article><h1>Head {k}</h1><div class=strip>On every page</div>{p}</article><div class=more><h3>More {k}</h3><p>Own text {k}</p></div><div class=terms><b>The same</b><p>at all</p></div>"
+    pages = [page.format(k=k, p="".join(f"<p>line {k} {j}</p>" for j in range(k % 3 + 1))) for k in range(9)]
+    for k, t in enumerate(own_texts(spark, pages)):  # what repeats goes from the article, and what varies beside it stays
+        assert t.split("\n") == [f"Head {k}", *(f"line {k} {j}" for j in range(k % 3 + 1)), f"More {k}", f"Own text {k}"]
+    for k, t in enumerate(own_texts(spark, pages[:3])):  # too few pages: the tags decide
+        assert t.split("\n") == [f"Head {k}", "On every page", *(f"line {k} {j}" for j in range(k % 3 + 1))]
+    assert own_texts(spark, [f"<nav>{k}</nav><article>one for all</article>" for k in range(9)]) == ["one for all"] * 9
+
+
 def test_secret_scan(spark, none):
     labelled = secret_scan.labelled_findings(spark)
     model = secret_scan.trained(labelled)

@@ -1,10 +1,14 @@
 """HTML main text by a site style tree.
 
 The pages of a host are merged into one tree: its nodes are paths of presentation (tags with their class and id), and
-each holds the contents seen there. The importance of a content node is the normalised entropy of its contents over the
-host's distinct pages: what repeats from page to page carries none. The importance of a presentation node is a prior by
-its role (an article is content; a menu, footer, advert, form or comment list is not), which its descendants inherit.
-Branches of low importance are removed from each page, and the remaining blocks are its text.
+the leaf of each holds the contents seen there. The importance of a leaf is the normalised entropy of its contents over
+the host's distinct pages, that of an element the same of the sequences of its children: what repeats from page to page
+carries none. A branch has the mean of its nodes, an element counting the more the more sequences it has.
+
+Leaves of low importance are removed from each page, in articles as well. A prior by role (an article is content; a menu,
+footer, advert, form or comment list is not), which descendants inherit, removes what is no content however much it
+varies. Beside an article, a branch without a role stays if its importance is high; where a host has too few pages to
+tell, the prior decides and it goes. The blocks that remain are the page's text.
 """
 
 from __future__ import annotations
@@ -19,11 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import stage
 
-#: Nodes of low importance up to which they go to the tasks as one table (about 100 bytes each); beyond, by a join.
+#: Judged nodes up to which they go to the tasks as one table (about 100 bytes each); beyond, by a join.
 BROADCAST_NODES = 100_000
-#: A content node is judged by its entropy from so many distinct pages on.
+#: A node is judged by its entropy from so many distinct pages on.
 LEAST_PAGES = 5
 LOW = 0.35
+#: An element of k sequences of children counts 1 - FEW ** k of a leaf in its branches.
+FEW = 0.9
+#: Elements below this depth are no branches of their own.
+DEPTH = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -59,7 +67,7 @@ def _role(tag: str, attributes: str, inside: int) -> tuple[str, int]:
             else:
                 names += value.split()
                 words.update(w.lower() for w in _WORD.findall(value))
-    name = ".".join([tag, *sorted(re.sub(r"\d+", "#", n) for n in names)])
+    name = ".".join([tag, *sorted(re.sub(r"\d+", "#", n).replace("/", "_") for n in names)]).replace("/", "_")
     if tag in _BOILERPLATE or role in _BAD_ROLES or tag == "header" and inside <= 0 or words & _BAD and tag not in ("html", "body"):
         return name, -1
     if words & {"header"} and tag not in ("html", "body", "header", "h1", "h2") and inside <= 0:
@@ -150,49 +158,91 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
     return out
 
 
-def _contents(batches):
-    """(host, path, page, content) of the neutral nodes of each page; page and content are hashes."""
+def _prefixes(path: str) -> list[str]:
+    """The elements of a path from the outermost on, DEPTH at most."""
+    parts = path.split("/", DEPTH + 1)[1 : DEPTH + 1]
+    out, at = [], ""
+    for x in parts:
+        at = f"{at}/{x}"
+        out.append(at)
+    return out
+
+
+def _branches(found: list[tuple[str, int, str]]) -> dict[str, str]:
+    """For each neutral path of a page with an article, the outermost branch with it and without article text."""
+    above = {x for p in {p for p, prior, _ in found if prior == 1} for x in _prefixes(p)}
+    return {p: next((x for x in _prefixes(p) if x not in above), f"{p}/#text") for p in {p for p, prior, _ in found if prior == 0}} if above else {}
+
+
+def _hash(parts: list[str]) -> int:
+    return int.from_bytes(hashlib.md5("\n".join(parts).encode("utf-8", "surrogatepass")).digest()[:8], "little", signed=True)
+
+
+def _nodes(batches):
+    """(host, node, page, value, beside) of the nodes of each page that no prior removes.
+
+    value: a hash of a leaf's content or of an element's sequence of children; beside: the node is a branch beside an article.
+    """
     for batch in batches:
-        host, path, page, content = [], [], [], []
+        out: list[tuple] = []
         for h, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            every = blocks(source or "")
+            found = [x for x in every if x[1] >= 0]
+            if not found:
+                continue
+            whole, beside = _hash([x[2] for x in every]), set(_branches(found).values())
             own: dict[str, list[str]] = {}
-            found = blocks(source or "")
-            for p, prior, s in found:
-                if prior == 0:
-                    own.setdefault(p, []).append(s)
-            if own:
-                whole = hashlib.md5("\n".join(x[2] for x in found).encode("utf-8", "surrogatepass")).digest()
-                for p, s in own.items():
-                    host.append(h)
-                    path.append(p)
-                    page.append(whole)
-                    content.append(hashlib.md5("\n".join(s).encode("utf-8", "surrogatepass")).digest())
-        types = pa.string(), pa.string(), pa.binary(), pa.binary()
-        yield pa.record_batch([pa.array(x, t) for x, t in zip((host, path, page, content), types)], ["host", "path", "page", "content"])
-
-
-def low_nodes(pages: DataFrame) -> DataFrame:
-    """(host, path) of the content nodes of low importance, for pages (host, html)."""
-    seen = pages.select("host", "html").mapInArrow(_contents, "host string, path string, page binary, content binary").distinct()
-    by_content = seen.groupBy("host", "path", "content").agg(F.count(F.lit(1)).alias("n"))
-    node = by_content.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("x"))
+            for p, _, s in found:
+                own.setdefault(f"{p}/#text", []).append(s)
+                inside = _prefixes(p)
+                for x, child in zip(inside, [*inside[1:], "#text"]):
+                    own.setdefault(x, []).append(child)
+            out += [(h, x, whole, _hash(s), x in beside) for x, s in own.items()]
+        columns = zip(*out) if out else [[]] * 5
+        types = pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_()
+        yield pa.record_batch([pa.array(x, t) for x, t in zip(columns, types)], ["host", "node", "page", "value", "beside"])
+
+
+def judged_nodes(pages: DataFrame) -> DataFrame:
+    """(host, node, high) for pages (host, html): leaves of low importance, and branches of high importance beside articles."""
+    seen = pages.select("host", "html").mapInArrow(_nodes, "host string, node string, page long, value long, beside boolean").distinct()
+    by_value = seen.groupBy("host", "node", "value").agg(F.count(F.lit(1)).alias("n"), F.max("beside").alias("beside"))
+    node = by_value.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.sum(F.col("n") * F.log("n")).alias("x"), F.count(F.lit(1)).alias("values"), F.max("beside").alias("beside"))
     # -sum(p log p) / log(pages), with p = n / pages
     entropy = F.when(F.col("pages") > 1, 1 - F.col("x") / (F.col("pages") * F.log("pages"))).otherwise(1.0)
-    return node.where((F.col("pages") >= LEAST_PAGES) & (entropy < LOW)).select("host", "path")
+    leaf = F.col("node").endswith("/#text")
+    weight = F.col("pages") * F.when(leaf, 1.0).otherwise(1 - F.pow(F.lit(FEW), "values"))
+    node = stage(node.select("host", "node", "pages", "beside", entropy.alias("importance"), weight.alias("weight")), "nodes")
+    low = node.where(leaf & (F.col("pages") >= LEAST_PAGES) & (F.col("importance") < LOW)).select("host", "node", F.lit(False).alias("high"))
+    wanted = node.where(F.col("beside") & (F.col("pages") >= LEAST_PAGES)).select("host", F.col("node").alias("branch"))
+    parts = F.split("node", "/")
+    ups = F.transform(F.sequence(F.lit(2), F.least(F.size(parts), F.lit(DEPTH + 1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    up = node.select("host", "importance", "weight", F.explode(F.array_distinct(F.concat(ups, F.array("node")))).alias("branch"))
+    branch = up.join(wanted, ["host", "branch"], "left_semi").groupBy("host", "branch").agg((F.sum(F.col("importance") * F.col("weight")) / F.sum("weight")).alias("importance"))
+    return low.unionByName(branch.where(F.col("importance") >= LOW).select("host", F.col("branch").alias("node"), F.lit(True).alias("high")))
+
 
+def main_text(page: str | None, low: set[str] | frozenset[str], high: set[str] | frozenset[str] = frozenset()) -> str:
+    """The blocks of the page that are left; beside an article, those of branches of high importance only.
 
-def main_text(page: str | None, low: set[str] | frozenset[str]) -> str:
-    """The blocks of the page that are left; neutral blocks count only where no article was marked."""
+    If all article text is of low importance, as where a host shows one article on all its pages, it stays.
+    """
     found = [(p, prior, s) for p, prior, s in blocks(page or "") if prior >= 0]
+    branch = _branches(found)
     marked = any(prior == 1 for _, prior, _ in found)
-    return "\n".join(s for p, prior, s in found if prior == 1 or not marked and p not in low)
+    alone = not any(prior == 1 and f"{p}/#text" not in low for p, prior, _ in found)
+    return "\n".join(s for p, prior, s in found if prior == 1 and alone or f"{p}/#text" not in low and (prior == 1 or not marked or branch[p] in high))
 
 
-def _extracted(batches, low: dict[str, set[str]] | None):
+def _extracted(batches, judged: dict[str, tuple[set[str], set[str]]] | None):
+    none = frozenset(), frozenset()
     for batch in batches:
         host, page = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        paths = [low.get(h, frozenset()) for h in host] if low is not None else [frozenset(x or ()) for x in batch.column(4).to_pylist()]
-        text = [main_text(h, p) for h, p in zip(page, paths)]
+        if judged is not None:
+            nodes = [judged.get(h, none) for h in host]
+        else:
+            nodes = [(frozenset(x or ()), frozenset(y or ())) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+        text = [main_text(h, *x) for h, x in zip(page, nodes)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -204,12 +254,13 @@ def extracted_pages(pages: DataFrame) -> DataFrame:
     """
     out = "page_id long, url string, text string, n_chars long"
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host_of(pages["url"]).alias("host"), "html")
-    low = stage(low_nodes(own), "low")
-    if low.count() <= BROADCAST_NODES:
-        held: dict[str, set[str]] = {}
-        for host, path in low.collect():
-            held.setdefault(host, set()).add(path)
+    judged = stage(judged_nodes(own), "judged")
+    if judged.count() <= BROADCAST_NODES:
+        held: dict[str, tuple[set[str], set[str]]] = {}
+        for host, node, high in judged.collect():
+            held.setdefault(host, (set(), set()))[high].add(node)
         return own.mapInArrow(lambda it: _extracted(it, held), out)
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
-    joined = own.join(by_host, "host", "left").select("page_id", "url", "host", "html", "low")
+    told = lambda high: F.collect_set(F.when(F.col("high") == high, F.col("node")))
+    by_host = judged.groupBy("host").agg(told(False).alias("low"), told(True).alias("high"))
+    joined = own.join(by_host, "host", "left").select("page_id", "url", "host", "html", "low", "high")
     return joined.mapInArrow(lambda it: _extracted(it, None), out)
