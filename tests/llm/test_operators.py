@@ -358,6 +358,19 @@ def test_importance_decides_on_pages_with_an_article(spark, monkeypatch, held):
     assert own_texts(spark, [f"<nav>{k}</nav><article>one for all</article>" for k in range(9)]) == ["one for all"] * 9
 
 
+def test_a_bad_word_is_a_hint_only_where_an_article_is():
+    text = lambda page: style_tree.main_text(page, frozenset())
+    assert text('<article class="post comments-open"><p>Own text</p><div class="share">tweet</div></article>') == "Own text"
+    assert text('<div class="layout has-sidebar"><article>Own text</article><div class="sidebar">side</div></div>') == "Own text"
+    assert text('<main class="content ad-free">Own text<div class="ad">buy</div></main>') == "Own text"
+    assert text('<main><h1>Head</h1><article class="comments-open">The own text of this page, of some sentences as articles have them</article></main>') == "Head\nThe own text of this page, of some sentences as articles have them"
+    assert text('<div class="page-header-fixed"><article>Own text</article></div>') == "Own text"
+    # an article without such a word, or with fewer, is before them
+    assert text('<article>Own text</article><div class="comments"><article>nice</article></div>') == "Own text"
+    assert text('<div class="has-sidebar"><article class="post">Own text</article><ol class="comments"><article class="comment">nice</article></ol></div>') == "Own text"
+    assert text('<nav><article>teaser</article></nav><div class="menu">x</div><p>Own text</p>') == "Own text"
+
+
 def test_secret_scan(spark, none):
     labelled = secret_scan.labelled_findings(spark)
     model = secret_scan.trained(labelled)

@@ -7,7 +7,7 @@ carries none. A branch has the mean of its nodes, an element counting the more t
 
 Leaves of low importance are removed from each page, in articles as well. A prior by role (an article is content; a menu,
 footer, advert, form or comment list is not), which descendants inherit, removes what is no content however much it
-varies. Beside an article, a branch without a role stays if its importance is high; where a host has too few pages to
+varies. A telling word in the name of a branch that is or holds an article is a hint only, see `settled`. Beside an article, a branch without a role stays if its importance is high; where a host has too few pages to
 tell, the prior decides and it goes. The blocks that remain are the page's text.
 """
 
@@ -30,6 +30,8 @@ LEAST_PAGES = 5
 LOW = 0.35
 #: An element of k sequences of children counts 1 - FEW ** k of a leaf in its branches.
 FEW = 0.9
+#: So much of the text of articles have those below the fewest hints at least, or the hints are overruled.
+SHARE = 0.1
 #: Elements below this depth are no branches of their own.
 DEPTH = 64
 
@@ -56,8 +58,8 @@ def host_of(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _role(tag: str, attributes: str, inside: int) -> tuple[str, int]:
-    """(the node's name in a path, its prior: 1 content, -1 none, 0 as above)."""
+def _role(tag: str, attributes: str, inside: int) -> tuple[str, int, bool]:
+    """(the node's name in a path, its prior: 1 content, -1 none, 0 as above, whether its names hint that it is no content)."""
     names, words, role = [], set(), ""
     if attributes:
         for m in _NAMES.finditer(attributes):
@@ -68,33 +70,61 @@ def _role(tag: str, attributes: str, inside: int) -> tuple[str, int]:
                 names += value.split()
                 words.update(w.lower() for w in _WORD.findall(value))
     name = ".".join([tag, *sorted(re.sub(r"\d+", "#", n).replace("/", "_") for n in names)]).replace("/", "_")
-    if tag in _BOILERPLATE or role in _BAD_ROLES or tag == "header" and inside <= 0 or words & _BAD and tag not in ("html", "body"):
-        return name, -1
-    if words & {"header"} and tag not in ("html", "body", "header", "h1", "h2") and inside <= 0:
-        return name, -1
-    if tag in _CONTENT or role in _GOOD_ROLES or words & _GOOD and tag in ("div", "section", "td"):
-        return name, 1
-    return name, 0
+    if tag in _BOILERPLATE or role in _BAD_ROLES or tag == "header" and inside <= 0:
+        return name, -1, False
+    hint = bool(words & _BAD) and tag not in ("html", "body")
+    hint = hint or "header" in words and tag not in ("html", "body", "header", "h1", "h2") and inside <= 0
+    if tag in _CONTENT or role in _GOOD_ROLES:
+        return name, 1, hint
+    return name, int(not hint and bool(words & _GOOD) and tag in ("div", "section", "td")), hint
 
 
-def blocks(page: str) -> list[tuple[str, int, str]]:
+def settled(found: list[tuple[str, int, str, tuple[int, ...]]], articles: list[tuple[int, ...]], low=frozenset()) -> list[tuple[str, int, str]]:
+    """(path, prior, text) of blocks that also have the hinted branches (numbers) that they are in, outermost first.
+
+    A hint holds for a branch without an article. Of articles below different numbers of hints, those of the fewest are
+    content whose text that is not low makes up SHARE of all such text: with an article of no hint, the articles in a comment list or a
+    list of related ones are none; where all the page's articles are below a hint, it is overruled.
+    """
+    if not any(x[3] for x in found):
+        return [x[:3] for x in found]
+    holding = {x for own in articles for x in own}
+    mass: dict[int, int] = {}
+    for p, prior, s, hints in found:
+        if prior == 1 and holding.issuperset(hints) and f"{p}/#text" not in low:
+            mass[len(hints)] = mass.get(len(hints), 0) + len(s)
+    most, upto = 0, 0
+    for most in sorted(mass):
+        upto += mass[most]
+        if upto >= SHARE * sum(mass.values()):
+            break
+    return [(p, prior if len(hints) <= most and holding.issuperset(hints) else -1, s) for p, prior, s, hints in found]
+
+
+def blocks(page: str, low: set[str] | frozenset[str] = frozenset()) -> list[tuple[str, int, str]]:
     """(path, prior, text) of each block with text, in page order."""
-    out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, str, int]] = []  # tag, path, prior
+    return settled(*_parsed(page), low)
+
+
+def _parsed(page: str) -> tuple[list[tuple[str, int, str, tuple[int, ...]]], list[tuple[int, ...]]]:
+    """The blocks, with the hinted branches that each is in, and those of each article or main."""
+    out: list[tuple[str, int, str, tuple[int, ...]]] = []
+    articles: list[tuple[int, ...]] = []
+    stack: list[tuple[str, str, int, tuple[int, ...]]] = []  # tag, path, prior, hints
     text: list[str] = []
-    path, prior, at = "", 0, 0
+    path, prior, hints, at, n = "", 0, (), 0, 0
 
     def flush() -> None:
         if text:
             s = " ".join(html.unescape("".join(text)).split())
             if s:
-                out.append((path, prior, s))
+                out.append((path, prior, s, hints))
             text.clear()
 
     def leave(depth: int) -> None:
-        nonlocal path, prior
+        nonlocal path, prior, hints
         del stack[depth:]
-        path, prior = stack[-1][1:] if stack else ("", 0)
+        path, prior, hints = stack[-1][1:] if stack else ("", 0, ())
 
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -130,13 +160,13 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                 flush()
             continue
         if tag in _INLINE:
-            name, own = _role(tag, m[3], prior) if m[3] else (tag, 0)
-            if own == -1:
+            name, own, hint = _role(tag, m[3], prior) if m[3] else (tag, 0, False)
+            if own == -1 or hint:
                 flush()
-                stack.append((tag, f"{path}/{name}", -1))
-                path, prior = stack[-1][1:]
+                stack.append((tag, f"{path}/{name}", -1, hints))
+                path, prior, hints = stack[-1][1:]
             else:
-                stack.append((tag, path, prior))
+                stack.append((tag, path, prior, hints))
             continue
         flush()
         closes = {"p"} if tag != "li" else {"p", "li"}
@@ -147,15 +177,20 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
                 break
             if stack[d][0] not in _INLINE:
                 break
-        name, own = _role(tag, m[3], prior)
+        name, own, hint = _role(tag, m[3], prior)
+        if hint and prior >= 0:
+            n += 1
+            hints = (*hints, n)
         # a branch without importance has none below; an article has until a branch in it has none
-        stack.append((tag, f"{path}/{name}", -1 if prior == -1 else own or prior))
-        path, prior = stack[-1][1:]
+        stack.append((tag, f"{path}/{name}", -1 if prior == -1 else own or prior, hints))
+        path, prior = stack[-1][1:3]
+        if own == 1 and prior == 1 and tag in _CONTENT:
+            articles.append(hints)
     if at < len(page):
         rest = page[at:]
         text.append(rest[: rest.find("<")] if re.match(r"[^<]*<[a-zA-Z/!?][^>]*\Z", rest, re.S) else rest)
     flush()
-    return out
+    return out, articles
 
 
 def _prefixes(path: str) -> list[str]:
@@ -227,7 +262,7 @@ def main_text(page: str | None, low: set[str] | frozenset[str], high: set[str] |
 
     If all article text is of low importance, as where a host shows one article on all its pages, it stays.
     """
-    found = [(p, prior, s) for p, prior, s in blocks(page or "") if prior >= 0]
+    found = [(p, prior, s) for p, prior, s in blocks(page or "", low) if prior >= 0]
     branch = _branches(found)
     marked = any(prior == 1 for _, prior, _ in found)
     alone = not any(prior == 1 and f"{p}/#text" not in low for p, prior, _ in found)
