@@ -320,6 +320,24 @@ def test_decontamination(spark, none):
     assert lsi_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench.where("false")).count() == 0
 
 
+def test_items_cut_at_either_end(spark):
+    r = random.Random(8)
+    words_ = ["".join(r.choice("aeioustrnlm") for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    text = lambda k: [r.choice(words_) for _ in range(k)]
+    items, docs, planted = [], [], set()
+    for k, (n, kept) in enumerate([(55, 49), (35, 31), (20, 17), (40, 27), (120, 40), (20, 14)]):
+        w = text(n)
+        items.append((k, " ".join(w)))
+        changed = ["other" if j >= 0.8 * n else x for j, x in enumerate(w)]  # the end is rewritten
+        for d, part in enumerate([w[:kept], w[n - kept :], changed, w[: n // 4]]):
+            docs.append((10 * k + d, " ".join(text(90) + part + text(60))))
+            if d < 3 or n == 120:  # 30 words are a long run of any item
+                planted.add((10 * k + d, k))
+    docs += [(1000 + i, " ".join(text(200))) for i in range(60)]
+    hits = lsi_decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id) for x in hits.collect()} == planted
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>";</script></head><body class="ad-free">
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">menu {k}</a></ul></nav><!-- <article> --><div class='cookie-notice'>We use cookies {k}</div>
 <{tag}><h2>Head &amp; line {k}</h2><p>First <b>bold</b>&nbsp;text<br>goes   on &lt;{k}&gt;<p>Second<aside>side</aside><form><input value=">">Name</form>

@@ -4,8 +4,9 @@ Documents and benchmark items are cut into passages of 32 words (a step of 8), v
 A randomised SVD gives a latent basis: every task multiplies its passages by a random matrix and back
 (``A' (A R)``), the partial products are summed in a distributed table, and the small eigenproblem of the sketch is
 solved on the driver. Every passage of every document is then compared with all item passages by cosine in that space;
-candidates are checked by the longest common subsequence with the item and by their hold of the item's last words, its
-answer, so paraphrases with changed, missing or added words are found as well.
+candidates are checked by the longest common subsequence with the item, so paraphrases with changed, missing or added
+words are found as well. A large share of the item or a long verbatim run of it is a hit by itself; a smaller share, a
+weak paraphrase, only with the item's last words, its answer.
 
 The benchmark is the query set and is held by every task; documents are never compared with each other.
 """
@@ -25,6 +26,8 @@ BUCKETS = 1 << 15
 RANK = 64
 WINDOW, STEP = 32, 8
 COSINE, COMMON, ANSWER = 0.35, 0.6, 0.5
+#: A hit by itself: this share of an item, of EVIDENCE words at least, or a verbatim run as `run_length` tells.
+LARGE, EVIDENCE, RUN = 0.8, 13, 25
 _PART = 512  # buckets in a row of the summed product
 _AT_ONCE = 1 << 22  # numbers that a check of candidates holds
 
@@ -155,7 +158,7 @@ class Items:
             own = np.unique(w)
             self.place[k, np.searchsorted(self.vocabulary, own)] = np.arange(len(own))
             # a subsequence of so many words has so many distinct ones at least
-            self.least.append(COMMON * len(w) - (len(w) - len(own)))
+            self.least.append(min(COMMON * len(w), run_length(len(w))) - (len(w) - len(own)))
         self.least = np.array(self.least, float)
         self.lengths = np.array([len(w) for w in self.words], np.int64)
         self.masks = []
@@ -195,6 +198,20 @@ class Items:
         return taken.bit_count(), (taken >> last).bit_count()
 
 
+def run_length(n: int) -> int:
+    """So many words of an item of n, one after another, are a hit: COMMON of it, from EVIDENCE to RUN words, or all of it."""
+    return min(n, max(EVIDENCE, min(RUN, math.ceil(COMMON * n))))
+
+
+def longest_run(item: np.ndarray, words: np.ndarray) -> int:
+    """Words of the longest stretch that both hold without a gap."""
+    most, ends = 0, np.zeros(len(item) + 1, np.int64)
+    for x in words:
+        ends[1:] = np.where(item == x, ends[:-1] + 1, 0)
+        most = max(most, int(ends.max()))
+    return most
+
+
 def answer_length(n: int) -> int:
     """The answer is the last fifth of an item's words, three at least."""
     return min(n, max(3, n // 5))
@@ -235,7 +252,9 @@ def _hits(batches, bench: list, idf: np.ndarray, basis: np.ndarray):
                         continue
                     lcs, held = items.common(k, h[a:z])
                     share, answer = lcs / n, held / answer_length(n)
-                    if share >= COMMON and answer >= ANSWER and (not old or share > old[0]):
+                    hit = share >= COMMON and answer >= ANSWER or share >= LARGE and lcs >= EVIDENCE
+                    hit = hit or lcs >= run_length(n) and longest_run(items.words[k], h[a:z]) >= run_length(n)
+                    if hit and (not old or share > old[0]):
                         best[t, k] = (share, answer, float(cosine[w, q]), a, z, a - int(starts[t]))
             out += [(batch.column(0)[i + t].as_py(), items.ids[k], x[0], x[1], x[2], x[5]) for (t, k), x in best.items()]
         yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in out], schema)
