@@ -13,8 +13,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A candidate: 12 or more key characters, among them a letter and a digit.
-CANDIDATE = r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{12,}"
+#: A candidate: 12 or more key characters, among them a letter and a digit; '=' only as padding at the end, so a name
+#: that is assigned to is not in its value's candidate.
+CANDIDATE = (
+    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])"
+    r"(?:[A-Za-z0-9_+/-]{12,}+(?:={1,2}(?![A-Za-z0-9_+/=-]))?|[A-Za-z0-9_+/-]{10,11}+={1,2}(?![A-Za-z0-9_+/=-]))"
+)
 #: Characters of text before and after a candidate that are looked at.
 BEFORE, AFTER = 48, 24
 #: Labelled findings that train the forest, the bound of what it is fitted on.
@@ -61,8 +65,9 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED) -> DataFrame:
-    """(secret, before, after, path, label): n findings made by rule, half of them secrets.
+    """(secret, before, after, path, label): findings in n lines made by rule, half of them with a secret.
 
+    The lines are cut by `candidates`, as scanned texts are; one that it finds nothing in gives no row.
     Secrets are keys of common makes or random strings, most of them assigned to a telling name. The others are hashes,
     identifiers, dates, paths, placeholders and words with numbers among neutral words, and random-looking strings that
     a commit, checksum or link explains.
@@ -83,7 +88,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED)
         .otherwise(F.concat(cut(b64("f"), "k", 12, 20), F.lit("9z")))
     )
     named = of("name", ["token", "secret", "password", "api_key", "apikey", "access_key", "auth_token", "client_secret", "TOKEN", "SECRET_KEY", "passwd", "private_key"])
-    told = F.concat(of("lead", ["", "the and ", "\n", "let ", "export ", "for the "]), named, of("is", [" = \"", "=\"", ": \"", " = '", "=", ": ", "\": \""]))
+    told = F.concat(of("lead", ["", "the and ", "\n", "let ", "export ", "for the ", "https://host.example/page?", "&"]), named, of("is", [" = \"", "=\"", ": \"", " = '", "=", ": ", "\": \""]))
     bare = of("bare", ["use ", "the ", "\n", " (", "with key "])
     w1, w2 = of("w1", DICTIONARY), of("w2", DICTIONARY)
     harmless = (
@@ -94,7 +99,7 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED)
         .when(pick("kind", 8) == 4, F.concat(w1, F.lit("/"), w2, F.lit("/"), some("z", 1, 999).cast("string"), F.lit("/"), of("w3", DICTIONARY)))
         .when(pick("kind", 8) == 5, F.concat(of("ph", ["your_", "example_", "changeme_", "placeholder-", "sample-", "xxxxxxxx"]), w1, F.lit("_123")))
         .when(pick("kind", 8) == 6, F.concat(F.initcap(w1), F.initcap(w2), F.initcap(of("w4", DICTIONARY)), some("v", 1, 99).cast("string")))
-        .otherwise(F.concat(w1, w2, F.lit("="), some("q", 10, 99999).cast("string")))
+        .otherwise(F.concat(w1, F.lit("_"), w2, some("q", 10, 99999).cast("string"), F.lit("="), some("r", 10, 99999).cast("string")))
     )
     random_like = pick("kind", 8) < 2
     calm = F.when(random_like, of("why", ["commit ", "checksum: ", "sha256:", "uuid ", "etag \"", "digest=", "https://host.example/", "build ", "revision ", "integrity=\"sha-"])).otherwise(
@@ -102,13 +107,16 @@ def labelled_findings(spark: SparkSession, n: int = TRAINING, seed: int = SEED)
     )
     rows = spark.range(0, n, 1, 4).withColumn("label", (F.col("id") % 2).cast("double"))
     good = F.col("label") == 1
-    return rows.select(
+    lines = rows.select(
         F.when(good, secret).otherwise(harmless).alias("secret"),
         F.when(good, F.when(pick("told", 10) < 9, told).otherwise(bare)).otherwise(calm).alias("before"),
-        of("after", ["\"", "'", " ", "\n", ";", "\" and the"]).alias("after"),
+        of("after", ["\"", "'", " ", "\n", ";", "\" and the", "&page=2"]).alias("after"),
         F.when(pick("path", 12) < F.when(good, 1).otherwise(4), of("odd", ["tests/fixtures/a.py", "docs/example.md", "sample/readme.txt"])).otherwise(of("usual", ["src0", "src7", "app/settings.py", "deploy/env", "web/main.js"])).alias("path"),
         "label",
-    ).where("length(secret) >= 12")
+    )
+    docs = lines.select(F.struct("secret", "label").alias("doc_id"), F.concat("before", "secret", "after").alias("text"), F.col("path").alias("source"))
+    label = F.when(F.col("secret") == F.col("doc_id.secret"), F.col("doc_id.label")).otherwise(0.0)
+    return candidates(docs).select("secret", "before", "after", "path", label.alias("label"))
 
 
 def trained(labelled: DataFrame, seed: int = SEED) -> RandomForestClassificationModel:
