@@ -292,6 +292,17 @@ def test_near_duplicates(spark, docs, none, monkeypatch, hot):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(expected)
 
 
+def test_near_copies_without_an_id(spark):
+    base = [f"b{k}" for k in range(90)]
+    near = " ".join(["changed", *base[1:]])
+    rows_ = [(1, " ".join(base)), (None, near), (None, near), (2, "x y z"), (None, " ".join([*base[:-1], "other"]))]
+    got = found(near_dedup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")))
+    assert got == sorted([(1, 86, 1, True), (2, 1, 2, True)] + 3 * [(None, 86, None, True)], key=repr)
+    texts = [" ".join(base), near]
+    got = found(near_dedup.near_duplicates(spark.createDataFrame([(5, texts[0]), (3, texts[1]), (None, texts[1])], "doc_id long, text string")))
+    assert got == sorted([(5, 86, 3, False), (3, 86, 3, True), (None, 86, 3, False)], key=repr)  # linked through an equal set
+
+
 def test_decontamination(spark, none):
     r = random.Random(6)
     words_ = ["".join(r.choice("aeioustrnlm") for _ in range(r.randint(2, 8))) for _ in range(3000)]

@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = stage(docs.select(ids, "text").mapInArrow(lambda it: _sets(it, k), schema), "sets")
     classes = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"), F.min("doc_id").alias("least"))
     classes = stage(classes.select("node", "least", "x.n", "x.sketch"), "classes")
-    sketches = classes.select("node", "n", "sketch")
+    # a class of rows without a doc_id is linked with no other: its text cannot be read again by an id
+    sketches = classes.where("least is not null").select("node", "n", "sketch")
 
     # the sketch holds the first 64 values, so lists of up to 24 values come from it without the text
     def first(batches):
