@@ -146,6 +146,14 @@ def _(spark, sf_dir):
     return told(resample(tables.lineitem_ticks(spark, sf_dir).where("time % 2592000 < 864000"), "1d", fill=True))
 
 
+FILL_MINUTES = FILLED.format(times="range(time + 60, coalesce(following, time), 60)")
+
+
+@query("bars_fill_utc_1m", f"{TICKS}, b AS (SELECT * FROM {ohlc('ticks', 'time - time % 60')}) SELECT {BAR_COLUMNS} FROM (SELECT * FROM b{FILL_MINUTES})")
+def _(spark, sf_dir):
+    return told(resample(tables.events_ticks(spark, sf_dir), "1m", fill=True))
+
+
 STAT = """SELECT symbol, count(*) AS trades, min(time) AS first, max(time) AS last, min(price_e4) / 10000.0 AS low, max(price_e4) / 10000.0 AS high,
  round(CASE WHEN sum(size) <> 0 THEN CAST(sum(price_e4 * size) AS DOUBLE) / 10000 / sum(size) END, 6) AS vwap, CAST(sum(size) AS BIGINT) AS volume FROM {} GROUP BY symbol"""
 
