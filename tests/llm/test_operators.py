@@ -349,6 +349,15 @@ def test_items_cut_at_either_end(spark):
     assert {(x.doc_id, x.item_id) for x in hits.collect()} == planted
 
 
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = " ".join(f"w{k}" for k in range(40))
+    prose = lambda i: " ".join(f"p{i}-{k}" for k in range(80))
+    rows_ = [(1, prose(1)), (2, f"{prose(2)} {item}"), (None, f"{item} {prose(3)}"), (None, prose(4)), (None, None), (5, prose(5)), (5, item)]
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = lsi_decontam.clean_documents(spark.createDataFrame(rows_, "doc_id long, text string"), bench)
+    assert found(kept) == sorted([rows_[0], rows_[3], rows_[4], rows_[5]], key=repr)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><article>";</script></head><body class="ad-free">
 <header><h1>Site</h1></header><nav><ul><li><a href="/x">menu {k}</a></ul></nav><!-- <article> --><div class='cookie-notice'>We use cookies {k}</div>
 <{tag}><h2>Head &amp; line {k}</h2><p>First <b>bold</b>&nbsp;text<br>goes   on &lt;{k}&gt;<p>Second<aside>side</aside><form><input value=">">Name</form>

@@ -307,7 +307,8 @@ def _own_product(bench, idf, buckets, rank):
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose doc_id no benchmark item is found in; rows without a doc_id are kept unless their text is hit."""
-    named = contaminated(docs.where("doc_id is not null"), benchmark, **how).select("doc_id").distinct()
+    """The rows of docs that no benchmark item is found in, each judged by its own text, with a doc_id or without."""
+    key = F.xxhash64("text")
+    named = contaminated(docs.select(key.alias("doc_id"), "text"), benchmark, **how).select(F.col("doc_id").alias("__text")).distinct()
     named = stage(named, "hits")
-    return docs.join(named, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(named, key == named["__text"], "left_anti").select(*docs.columns)
