@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 from pathlib import Path
 
@@ -9,6 +10,22 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
 
 
+#: Seconds that one test may take; one that hangs fails and the others run.
+LIMIT = int(os.environ.get("TEST_SECONDS", "600"))
+
+
+@pytest.fixture(autouse=True)
+def limited():
+    def stop(*_):
+        raise TimeoutError(f"the test took more than {LIMIT} s")
+
+    before = signal.signal(signal.SIGALRM, stop)
+    signal.alarm(LIMIT)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
