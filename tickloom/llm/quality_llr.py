@@ -21,37 +21,51 @@ SAMPLE = 20_000
 SYMBOLS = "#*$%&|<>"
 
 
-def _n_repeat(w: str, h: str, s: str) -> F.Column:
-    """Words in 3-word windows found twice or more, from the window hashes h sorted with their places s."""
+def bound(df: DataFrame, **columns: F.Column) -> DataFrame:
+    """df with the columns, each worked out once for a row.
+
+    They come from a generator of one row. The optimiser neither moves a filter on them below it nor puts their
+    expressions in the place of their names, where a lambda would repeat them for each word.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*[x.alias(name) for name, x in columns.items()]))))
+
+
+def _n_repeat(s: str) -> F.Column:
+    """Words in 3-word windows found twice or more, from the windows' hashes h and places i, sorted."""
     same = lambda x, j, d: F.coalesce(x["h"] == F.get(F.col(s), j + F.lit(d))["h"], F.lit(False))
     found = F.filter(F.col(s), lambda x, j: same(x, j, -1) | same(x, j, 1))
     return F.size(F.array_distinct(F.flatten(F.transform(found, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)))))
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__w", words(docs["text"]))
+    return bound(docs, __w=words(docs["text"]))
 
 
 def base_rules(worded: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with text and __w."""
-    text = F.coalesce(worded["text"], F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    spaces = F.lit(" \t\n\x0b\x0c\r")
-    out = worded.withColumns(
-        {
-            "n_words": F.size("__w").cast("long"),
-            "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "__lines": lines,
-            "__h": F.when(F.size("__w") >= 4, F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))).otherwise(F.array().cast("array<bigint>")),
-        }
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with text and __w.
+
+    Columns of these names are replaced.
+    """
+    text = F.coalesce("text", F.lit(""))
+    bare = lambda x: F.translate(x, " \t\n\x0b\x0c\r", "")
+    windows = F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))
+    out = bound(
+        worded,
+        __lines=F.filter(F.split(text, "\n"), lambda x: F.length(bare(x)) > 0),
+        __h=F.when(F.size("__w") >= 4, windows).otherwise(F.array().cast("array<bigint>")),
     )
-    del spaces
-    out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
     repeated = F.size("__h") > F.size(F.array_distinct("__h"))
     places = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = out.withColumn("__s", F.when(repeated, places).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
-    out = out.withColumn("n_repeat_words", F.when(F.size("__s") > 0, _n_repeat("__w", "__h", "__s")).otherwise(0).cast("long"))
+    out = bound(out, __s=F.when(repeated, places).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
+    out = bound(
+        out,
+        n_words=F.size("__w").cast("long"),
+        word_chars=F.length(bare(text)).cast("long"),
+        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        n_repeat_words=F.when(F.size("__s") > 0, _n_repeat("__s")).otherwise(0).cast("long"),
+    )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return out.withColumn("base_failed", failed).drop("__lines", "__h", "__s")
 
@@ -102,7 +116,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sa
     and the threshold, the raw multinomial counts every document. A null or empty text has no words and fails the base
     rules. Rows that repeat, null ids and unknown columns pass through; null or other labels than 0 and 1 are unused,
     and without good or without bad labels only the base rules reject. A document with labels of both kinds counts as
-    bad. The driver holds one number for each bucket and sampled row.
+    bad. Columns of docs that have the names of added ones are replaced; names that begin with two underscores are taken.
+    The driver holds one number for each bucket and sampled row.
     """
     worded = with_words(docs)
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("__q"))
@@ -113,7 +128,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sa
     raw, target = _counts(worded.select("__w"), buckets), _counts(held.where("__q = 1"), buckets)
     all_raw, all_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
     ratios = [math.log((target.get(b, 0) + 1) / all_target) - math.log((raw.get(b, 0) + 1) / all_raw) for b in range(buckets)]
-    scored = held.withColumn("__b", _buckets(buckets)).select(score(ratios), "__q", F.size("__w"))
+    scored = bound(held, __b=_buckets(buckets)).select(score(ratios), "__q", F.size("__w"))
     threshold = fitted_threshold([(x, q) for x, q, n in scored.collect() if n >= 50])
-    out = base_rules(worded).withColumn("__b", _buckets(buckets)).withColumn("llr", score(ratios))
+    out = bound(base_rules(worded), __b=_buckets(buckets))
+    out = bound(out, llr=score(ratios))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("__w", "__b")
