@@ -2,8 +2,10 @@
 
 import hashlib
 import html
+import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -12,6 +14,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tickloom.llm import bpe_counts, lsi_decontam, mixing, near_dedup, quality_llr, queries, rans, secret_scan, sharding, style_tree, suffix_dedup
@@ -230,6 +233,55 @@ def test_quality_base_rules(spark, docs, none):
     assert alone.where("kept = base_failed").count() == 0  # without labels only the base rules reject
 
 
+def test_quality_verdicts_can_be_filtered(spark):
+    source = Path("/root/testdata/sf0.01")
+    if not source.exists():
+        pytest.skip("no test tables")
+    judged = quality_llr.quality_rules(spark.read.parquet(f"{source}/documents.parquet"), spark.read.parquet(f"{source}/labels.parquet"))
+    began = time.time()
+    every = judged.select("doc_id", "n_words", "n_repeat_words", "base_failed", "kept").collect()
+    plain = time.time() - began
+    for rule, wanted in {
+        "kept": lambda r: r.kept,
+        "base_failed": lambda r: r.base_failed,
+        "kept = base_failed and n_words > 3": lambda r: r.kept == r.base_failed and r.n_words > 3,
+        "n_repeat_words > 10": lambda r: r.n_repeat_words > 10,
+    }.items():
+        began = time.time()
+        got = judged.where(rule).select("doc_id").collect()
+        assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in every if wanted(r)), rule
+        assert time.time() - began < 3 * plain + 5, rule
+
+
+def test_quality_ratio_by_brute_force(spark):
+    r = random.Random(12)
+    good, bad = [f"w{k}" for k in range(60)], [f"x{k}" for k in range(60)]
+    texts = {i: " ".join(r.choice(bad if r.random() < (0.7 if i % 3 == 0 else 0.2) else good) for _ in range(r.randint(40, 90))) for i in range(90)}
+    labels = {i: int(i % 3 != 0) for i in range(60)}
+    buckets = 500
+    bits = lambda x, seed=42: xxhash.xxh64(x.encode(), seed=seed).intdigest()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+
+    def own(t):
+        w = words(t)
+        return [signed(bits(x)) % buckets for x in w] + [signed(bits(y, bits(x))) % buckets for x, y in zip(w, w[1:])]
+
+    raw, target = Counter(b for t in texts.values() for b in own(t)), Counter(b for i, q in labels.items() if q for b in own(texts[i]))
+    n_raw, n_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
+    llr = {i: sum(math.log((target[b] + 1) / n_target) - math.log((raw[b] + 1) / n_raw) for b in own(t)) / len(own(t)) for i, t in texts.items()}
+    judged = [(llr[i], q) for i, q in labels.items() if len(words(texts[i])) >= 50]
+    order, best = sorted(x for x, _ in judged), (1.0, -math.inf)
+    for low, high in zip(order, order[1:]):
+        lost = sum(q == 1 and x <= low for x, q in judged) / sum(q for _, q in judged)
+        error = lost + 1 - sum(q == 0 and x <= low for x, q in judged) / sum(q == 0 for _, q in judged)
+        if lost <= 0.005 and error < best[0] - 1e-12:
+            best = error, (low + high) / 2
+    got = quality_llr.quality_rules(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), buckets)
+    for x in got.collect():
+        assert x.llr == pytest.approx(llr[x.doc_id], abs=1e-12)
+        assert x.kept == (not x.base_failed and x.llr >= best[1] - 1e-12)
+
+
 def test_quality_ratio_parts_junk_from_prose(spark):
     r = random.Random(4)
     good, bad = [f"w{k}" for k in range(300)], [f"w{k}###" for k in range(300)]
@@ -278,6 +330,7 @@ def test_near_duplicates(spark, docs, none, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(near_dedup, "LIST", hot)
         monkeypatch.setattr(near_dedup, "HOT_VALUES", 500)
+        monkeypatch.setattr(near_dedup, "PART", 5)
     table = docs.select("doc_id", "text").where("doc_id is not null").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     listed = [(x[0], x[1]) for x in rows() if x[0] is not None] + more
     for k in [4 if hot else 5]:
@@ -294,13 +347,32 @@ def test_near_duplicates(spark, docs, none, monkeypatch, hot):
 
 def test_near_copies_without_an_id(spark):
     base = [f"b{k}" for k in range(90)]
-    near = " ".join(["changed", *base[1:]])
-    rows_ = [(1, " ".join(base)), (None, near), (None, near), (2, "x y z"), (None, " ".join([*base[:-1], "other"]))]
-    got = found(near_dedup.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")))
-    assert got == sorted([(1, 86, 1, True), (2, 1, 2, True)] + 3 * [(None, 86, None, True)], key=repr)
+    near, other = " ".join(["changed", *base[1:]]), " ".join([*base[:-1], "other"])
+    rows_ = [(1, " ".join(base)), (None, near), (None, near), (2, "x y z"), (None, other)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    assert found(near_dedup.near_duplicates(df)) == sorted([(1, 86, 1, True), (2, 1, 2, True)] + 3 * [(None, 86, 1, False)], key=repr)
+    assert found(near_dedup.one_of_each(df)) == sorted([rows_[0], rows_[3]], key=repr)
     texts = [" ".join(base), near]
     got = found(near_dedup.near_duplicates(spark.createDataFrame([(5, texts[0]), (3, texts[1]), (None, texts[1])], "doc_id long, text string")))
-    assert got == sorted([(5, 86, 3, False), (3, 86, 3, True), (None, 86, 3, False)], key=repr)  # linked through an equal set
+    assert got == sorted([(5, 86, 3, False), (3, 86, 3, True), (None, 86, 3, False)], key=repr)
+    alone = spark.createDataFrame([(None, near), (None, near), (None, other), (None, None), (4, "x y z"), (None, "x Y z")], "doc_id long, text string")
+    got = found(near_dedup.near_duplicates(alone))
+    assert got == sorted([(None, 86, None, True)] * 3 + [(None, 0, None, True), (4, 1, 4, True), (None, 1, 4, False)], key=repr)
+    kept = [r.text for r in near_dedup.one_of_each(alone).collect()]
+    assert len(kept) == 3 and {None, "x y z"} < set(kept) and (near in kept) != (other in kept)
+
+
+def test_signatures_never_rule_out_a_link():
+    r = np.random.default_rng(4)
+    for _ in range(300):
+        n, gone = int(r.integers(1, 400)), r.random() * 0.3
+        a = np.unique(r.integers(0, 1 << 63, n, np.uint64))
+        b = np.unique(np.concatenate([a[r.random(len(a)) > gone], r.integers(0, 1 << 63, int(gone * n * r.random()) + 1, np.uint64)]))
+        differ = int(np.bitwise_count((near_dedup.signature(a) ^ near_dedup.signature(b)).view(np.uint64)).sum())
+        both = len(np.intersect1d(a, b))
+        assert differ <= len(a) + len(b) - 2 * both
+        if 100 * both >= 80 * (len(a) + len(b) - both):
+            assert differ * 180 <= (len(a) + len(b)) * 20
 
 
 def test_decontamination(spark, none):

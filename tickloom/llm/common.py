@@ -35,7 +35,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage of df through a table in the shared folder, so that lost executors cost no recomputation of it."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def unstage(*staged: DataFrame) -> None:
+    """Deletes the tables of what `stage` returned, once nothing is to be read from them any more."""
+    for df in staged:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
 def words(text) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     edges = stage(edges.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
     before = None
     for _ in range(most):
-        edges = stage(_star(_star(edges, True), False), "links")
+        old, edges = edges, stage(_star(_star(edges, True), False), "links")
+        unstage(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -5,35 +5,40 @@ equal sets form a class at once. Each class keeps the least hashes of its set; i
 give candidate pairs, an estimate from the sketch of the union drops hopeless ones, and the exact Jaccard coefficient of
 the full sets confirms the rest. Links make components.
 
-No list is expanded into all its pairs at once. First each member of a list meets one of its members; the
-confirmed links give components; then only members of different components meet. So every pair of a list is either
-confirmed, refuted, or already in one component, and no link is lost. Values in long lists (65,536 values at most) are
+No list is expanded into all its pairs. First each member of a list meets its most typical member, that whose values
+are in the longest lists, such as the text that many copies were made from; the confirmed links give components. Then
+only members of different components meet, and only those whose signatures of 512 parities allow the similarity: two
+sets differ in at least as many values as their signatures do in bits. So every pair of a list is either confirmed,
+refuted, or already in one component, and no link is lost. Values in long lists (65,536 values at most) are
 ordered last in every set, so a passage that many texts share does not bring unrelated ones together;
 a set with such a value retains its whole prefix of ``n - ceil(0.8 n) + 1`` values, with which no partner can be missed.
 
 Other sets retain the first 24 of that prefix: two sets with a Jaccard coefficient of 0.8 share none of them with a
-probability below 1e-16. The estimate drops a pair only 5 standard deviations below the threshold.
+probability below 1e-16. The estimate drops a link with a probability below 1e-12.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_shingles
+from .common import stage, text_shingles, unstage
 from .graph import components
 
 RETAINED, SKETCH = 24, 64
 #: Values in lists of more than LIST members go last, the largest lists first, as many as a broadcast table may hold.
-LIST, HOT_VALUES, DEMOTIONS = 16, 65_536, 4
+LIST, HOT_VALUES, DEMOTIONS = 16, 65_536, 2
+#: Parities of a signature.
+BITS = 512
+#: Members of a list that one task compares with the others.
+PART = 2048
 #: What a block of nodes holds at most: members, and shingles of them all (one larger text is alone).
 CELL_MEMBERS, CELL_SHINGLES = 256, 1 << 18
-#: Rounds in which the members of each list meet one of them before all that are still apart meet.
-STARS = 1
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -55,20 +60,39 @@ def _retained(values: np.ndarray, hot: np.ndarray | None, percent: int) -> np.nd
     return np.concatenate([values[~is_hot], values[is_hot]])[:p]
 
 
+def signature(values: np.ndarray) -> np.ndarray:
+    """BITS parities as 64-bit words: bit i tells whether an odd number of the values fall to i."""
+    odd = np.bincount((values & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def _sets(batches, k: int):
     for batch in batches:
         sets = list(text_shingles(batch.column(1), k))
+        parities = np.array([signature(s) for s in sets], np.int64).reshape(-1)
         yield pa.record_batch(
             [
                 batch.column(0),
+                batch.column(2),
                 pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
+                pa.FixedSizeListArray.from_arrays(pa.array(parities), BITS // 64).cast(pa.list_(pa.int64())),
             ],
-            ["doc_id", "node", "n", "sketch"],
+            ["doc_id", "key", "node", "n", "sketch", "signature"],
         )
 
 
+def least_shared(k: int, percent: int, chance: float = 1e-12) -> int:
+    """The least c for which a link shares fewer than c of k sampled values of its union with a probability above chance."""
+    q, upto = percent / 100, 0.0
+    for c in range(k + 1):
+        upto += math.comb(k, c) * q**c * (1 - q) ** (k - c)
+        if upto > chance:
+            return c
+    return k
+
+
 def _postings(batches, k: int, hot: bytes, percent: int):
     hot = np.frombuffer(hot, np.uint64)
     for batch in batches:
@@ -87,6 +111,7 @@ def _sketch_table(data: pa.Array, _k: int) -> list[np.ndarray]:
 def _likely(sets: list[np.ndarray], percent: int):
     """Tells of pairs of these sketches whether the sketch of the union does not rule out the similarity."""
     none, size = np.uint64((1 << 64) - 1), np.array([len(x) for x in sets])
+    least = np.array([least_shared(k, percent) for k in range(SKETCH + 1)])
     table = np.full((len(sets), SKETCH), none)
     for row, x in zip(table, sets):
         row[: len(x)] = x
@@ -103,8 +128,7 @@ def _likely(sets: list[np.ndarray], percent: int):
             whole = (size[x] < SKETCH) & (size[y] < SKETCH)
             k = np.where(whole, rank[:, -1], np.minimum(size[x], size[y]))
             shared = (twice & (rank[:, 1:] <= k[:, None])).sum(axis=1)
-            deviation = np.sqrt(percent / 100 * (1 - percent / 100) / k)
-            keep[i : i + 4096] = np.where(whole, 100 * shared >= percent * k, shared / k >= percent / 100 - 5 * deviation)
+            keep[i : i + 4096] = np.where(whole, 100 * shared >= percent * k, shared >= least[np.minimum(k, SKETCH)])
         return keep
 
     return verdict
@@ -161,10 +185,11 @@ def _cells(batches, k: int, percent: int, read, judge):
 
 
 def _blocks(listed: DataFrame) -> DataFrame:
-    """(node, block) of members of lists: those of a node's longest list, in parts of a bounded number and total size."""
-    top = listed.groupBy("node").agg(F.max(F.struct("members", "value", "total")).alias("t"))
+    """(node, block, typical) of members of lists: block, a part of a bounded number and total size of a node's longest
+    list; typical, the greater the longer the lists of its values."""
+    top = listed.groupBy("node").agg(F.max(F.struct("members", "value", "total")).alias("t"), F.avg(F.log("members")).alias("typical"))
     parts = F.greatest(F.ceil(F.col("t.members") / CELL_MEMBERS), F.ceil(F.col("t.total") / CELL_SHINGLES))
-    return top.select("node", F.xxhash64("t.value", F.pmod(F.xxhash64("node"), parts)).alias("block"))
+    return top.select("node", F.xxhash64("t.value", F.pmod(F.xxhash64("node"), parts)).alias("block"), "typical")
 
 
 def _in_cells(pairs: DataFrame, held: DataFrame, k: int, percent: int, read, judge) -> DataFrame:
@@ -179,23 +204,19 @@ def _in_cells(pairs: DataFrame, held: DataFrame, k: int, percent: int, read, jud
     return rows.mapInArrow(lambda it: _cells(it, k, percent, read, judge), "a binary, b binary, cell long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text).
+def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key, node, n) of each row and (node, root, component) of each class; key is a hash of the text.
 
-    Links sets of a Jaccard coefficient of percent / 100 or more. component_id: the least doc_id reachable; kept: it is
-    the row's own doc_id. A null or wordless text is linked with nothing. Repeated rows each get a row of the same
-    class; a null doc_id stays null, is linked only through equal sets and takes no part in the least id. Other columns
-    of docs are ignored; an empty table gives an empty table.
+    root names the component, component is its least doc_id (null: none of its rows has one).
     """
-    k, spark = words, docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, node binary, n long, sketch binary"
-    ids = F.col("doc_id").cast("long").alias("doc_id")
-    sets = stage(docs.select(ids, "text").mapInArrow(lambda it: _sets(it, k), schema), "sets")
-    classes = sets.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"), F.min("doc_id").alias("least"))
-    classes = stage(classes.select("node", "least", "x.n", "x.sketch"), "classes")
-    # a class of rows without a doc_id is linked with no other: its text cannot be read again by an id
-    sketches = classes.where("least is not null").select("node", "n", "sketch")
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    schema = "doc_id long, key long, node binary, n long, sketch binary, signature array<long>"
+    sets = stage(docs.select("doc_id", "text", "key").mapInArrow(lambda it: _sets(it, k), schema), "sets")
+    classes = sets.where("node is not null").groupBy("node")
+    classes = classes.agg(F.min(F.struct("doc_id", "key", "n", "sketch", "signature")).alias("x"), F.min("doc_id").alias("least"))
+    classes = stage(classes.select("node", "least", "x.key", "x.n", "x.sketch", "x.signature"), "classes")
+    nameless = bool(classes.where("least is null").head(1))
 
     # the sketch holds the first 64 values, so lists of up to 24 values come from it without the text
     def first(batches):
@@ -205,12 +226,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             value = np.concatenate(value or [np.zeros(0, np.uint64)]).view(np.int64)
             yield pa.record_batch([pa.array(value), batch.column(0).take(row), batch.column(1).take(row)], ["value", "node", "n"])
 
-    postings = stage(sketches.mapInArrow(first, "value long, node binary, n long"), "postings")
-    # a class is read once more where its text is needed: the rows of its least doc_id, one for each class
-    near = lambda nodes: (
-        docs.select(ids, "text")
-        .join(sets.where("node is not null").select("doc_id", "node").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "node"), "doc_id")
-    )
+    def near(nodes):
+        """(node, n, text) of classes, read once more where the text is needed: the rows of the least doc_id, or of its key."""
+        asked = classes.join(nodes, "node", "left_semi").select("node", "least", "key")
+        told = docs.join(asked.where("least is not null").select(F.col("least").alias("doc_id"), "node"), "doc_id").select("doc_id", "text", "node")
+        if nameless:
+            own = docs.where("doc_id is null").groupBy("key").agg(F.first("text").alias("text"))
+            told = told.unionByName(own.join(asked.where("least is null").select("key", "node"), "key").select(F.lit(None).cast("long").alias("doc_id"), "text", "node"))
+        return told.mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"])
+
+    postings = stage(classes.select("node", "n", "sketch").mapInArrow(first, "value long, node binary, n long"), "postings")
     # values in many lists go last in every set; what moves up in their place may be in many lists as well
     hot_values = np.zeros(0, np.uint64)
     for _ in range(DEMOTIONS):
@@ -227,65 +252,75 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         hot = stage(fresh.where(F.col("members") > least).select("value"), "hot")
         new = np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)  # at most HOT_VALUES
         if not len(new):
+            unstage(lists, hot)
             break
         hot_values = np.sort(np.concatenate([hot_values, new]))
         touched = stage(postings.join(F.broadcast(hot), "value", "left_semi").select("node").distinct(), "touched")
-        again = near(touched).mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"])
         values = hot_values.tobytes()
-        again = again.select("node", "n", "text").mapInArrow(lambda it, values=values: _postings(it, k, values, percent), "value long, node binary, n long")
-        postings = stage(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
+        again = near(touched).mapInArrow(lambda it, values=values: _postings(it, k, values, percent), "value long, node binary, n long")
+        before, postings = postings, stage(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
+        unstage(lists, hot, touched, before)
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
-    listed = stage(postings.join(shared, "value"), "listed")
-    blocks = stage(_blocks(listed), "blocks")
-    listed = listed.select("value", "node", "n")
+    every_listed = stage(postings.join(shared, "value"), "listed")
+    unstage(postings)
+    blocks = stage(_blocks(every_listed), "blocks")
+    listed = every_listed.select("value", "node", "n", "members")
     block = lambda x: blocks.select(F.col("node").alias(x), F.col("block").alias(f"b{x}"))
     fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
-    def texts(pairs):
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        return near(nodes).mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"]).select("node", F.col("text").alias("data"))
-
     def met(pairs, before):
-        """The new links among candidate pairs (a, na, b, nb)."""
+        """The candidate pairs (a, na, b, nb), each once, and the new links among them."""
         pairs = pairs.where((F.col("a") != F.col("b")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs if before is None else pairs.join(before, ["a", "b"], "left_anti")
         cell = F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("cell")
         pairs = stage(pairs.join(block("a"), "a").join(block("b"), "b").select("a", "b", cell), "pairs")
-        held = sketches.select("node", F.col("sketch").alias("data"))
+        held = classes.select("node", F.col("sketch").alias("data"))
         likely = stage(_in_cells(pairs, held, k, percent, _sketch_table, _likely), "likely")
-        links = stage(_in_cells(likely, texts(likely), k, percent, _full_table, _linked).select("a", "b"), "confirmed")
-        pairs = pairs.select("a", "b")
-        return pairs if before is None else before.unionByName(pairs), links
-
-    def rooted():
-        out = listed if roots is None else listed.join(roots, "node", "left")
-        return stage(out.withColumn("root", F.col("node") if roots is None else F.coalesce("root", "node")), "rooted")
-
-    roots = links = seen = None
-    for turn in range(STARS):
-        told = rooted()
-        heads = told.groupBy("value").agg(F.min_by(F.struct("node", "n", "root"), F.struct(F.xxhash64("node", F.lit(turn)), "node")).alias("h"))
-        star = told.join(heads, "value").where(F.col("root") != F.col("h.root"))
-        seen, found = met(star.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("h.node").alias("b"), F.col("h.n").alias("nb")), seen)
-        links = found if links is None else links.unionByName(found)
-        roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+        texts = near(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", F.col("text").alias("data"))
+        links = stage(_in_cells(likely, texts, k, percent, _full_table, _linked).select("a", "b"), "confirmed")
+        unstage(likely)
+        return pairs.select("a", "b"), links
+
+    told = listed.join(blocks.select("node", "typical"), "node")
+    heads = told.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("typical", "node")).alias("h"))
+    star = told.join(heads, "value").where(F.col("node") != F.col("h.node"))
+    seen, links = met(star.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("h.node").alias("b"), F.col("h.n").alias("nb")), None)
+    roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     # members of one list that are still apart
-    told = rooted()
+    told = stage(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = told.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
-    apart = told.join(mixed, "value", "left_semi")
-    x = apart.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    y = apart.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = x.join(y, (x["value"] == y["value"]) & (x["ra"] != y["rb"]) & (x["a"] < y["b"]) & fit)
+    apart = told.join(mixed, "value", "left_semi").join(classes.select("node", "signature"), "node")
+    parts = F.ceil(F.col("members") / PART).cast("int")
+    x = apart.select("value", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("signature").alias("sa"))
+    y = apart.select("value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("signature").alias("sb"))
+    differ = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    # a link differs in (1 - t) / (1 + t) of the summed sizes at most
+    alike = differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    rest = x.join(y, (x["value"] == y["value"]) & (x["part"] == y["part"]) & (x["ra"] != y["rb"]) & (x["a"] < y["b"]) & fit & alike)
     _, more = met(rest.select("a", "na", "b", "nb"), seen)
     if more.head(1):
         every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stage(components(every), "roots")
+    unstage(told, every_listed)
     member = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = member.groupBy("root").agg(F.min("least").alias("component"))
-    low = member.join(low, "root").select("node", "component")
-    out = sets.select("doc_id", "node", "n").join(low, "node", "left")
+    return sets.select("doc_id", "key", "node", "n"), member.join(low, "root").select("node", "root", "component")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row for each row of docs (doc_id, text).
+
+    Links sets of a Jaccard coefficient of percent / 100 or more. component_id: the least doc_id reachable; kept: it is
+    the row's own doc_id. A null or wordless text is linked with nothing. Repeated rows each get a row of the same
+    class. A row of a null doc_id is linked as any other, but takes no part in the least id; without a doc_id in its
+    component, component_id is null and kept true. Other columns of docs are ignored; an empty table gives an empty
+    table.
+    """
+    rows, classes = _judged(docs, words, percent)
+    out = rows.join(classes.select("node", "component"), "node", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    kept = F.when(F.col("node").isNull(), True).otherwise(F.col("doc_id").eqNullSafe(F.col("component")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _as_frame(spark, values: np.ndarray) -> DataFrame:
@@ -302,12 +337,20 @@ def _own(batches, k: int):
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one for each component; of rows that repeat a doc_id, the first by text.
+    """One row of docs for each component: that of the least doc_id; of rows that repeat a doc_id, the first by text.
 
-    Rows without a doc_id stay as they are: no decision names them.
+    Of a component without any doc_id, one row of the least text hash stays. Rows without words are linked with nothing
+    and all stay, as far as they differ in doc_id.
     """
-    kept = near_duplicates(docs, words, percent).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows, classes = _judged(docs, words, percent)
+    rows = rows.join(classes, "node", "left")
+    kept = rows.where("doc_id is not null and (node is null or doc_id = component)").select("doc_id").distinct()
     out = docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
     turn = Window.partitionBy("doc_id").orderBy(F.sha2(F.coalesce("text", F.lit("")), 256))
     out = out.withColumn("__turn", F.row_number().over(turn)).where("__turn = 1").drop("__turn")
-    return out.unionByName(docs.where("doc_id is null"))
+    # rows without a doc_id are told by their texts
+    bare = docs.where("doc_id is null").withColumn("__key", F.xxhash64("text"))
+    alone = rows.where("doc_id is null and component is null and node is not null").groupBy("root").agg(F.min("key").alias("__key")).select("__key").distinct()
+    one = bare.join(alone, "__key", "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy("__key").orderBy("text"))).where("__turn = 1")
+    wordless = bare.join(rows.where("doc_id is null and node is null").select(F.col("key").alias("__key")).distinct(), "__key", "left_semi")
+    return out.unionByName(one.select(*docs.columns)).unionByName(wordless.select(*docs.columns))
