@@ -129,15 +129,24 @@ def repeats(texts, length):
         yield len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-@pytest.mark.parametrize(("shard", "hot"), [(4 << 20, 1000), (3000, 3)])
-def test_repeated_bytes(docs, none, monkeypatch, shard, hot):
+@pytest.mark.parametrize(("shard", "hot", "hottest"), [(1 << 20, 1000, 100_000), (3000, 3, 100_000), (3000, 2, 6)])
+def test_repeated_bytes(docs, none, monkeypatch, shard, hot, hottest):
     monkeypatch.setattr(suffix_dedup, "SHARD", shard)
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    named = [r for r in rows() if r[0] is not None]
-    expected = sorted(((r[0], *x) for r, x in zip(named, repeats([r[1] for r in named], 200))), key=repr)
-    assert found(suffix_dedup.without_repeats(docs.where("doc_id is not null"))) == expected
-    assert found(suffix_dedup.without_repeats(none)) == []
-    assert len(found(suffix_dedup.without_repeats(docs.where("doc_id is null")))) == 1
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", hottest)
+    got = found(suffix_dedup.without_repeats(docs))
+    assert got == sorted(((r[0], *x) for r, x in zip(rows(), repeats([r[1] for r in rows()], 200))), key=repr)
+    if hot == 1000:
+        assert found(suffix_dedup.without_repeats(none)) == []
+
+
+def test_repeats_of_rows_without_an_id(spark):
+    r = random.Random(7)
+    prose = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    shared = prose(260)
+    texts = [(1, prose(50) + shared + prose(80)), (None, prose(90) + shared), (None, prose(400)), (None, "short"), (2, prose(300))]
+    got = found(suffix_dedup.without_repeats(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert got == sorted(((i, *x) for (i, _), x in zip(texts, repeats([t for _, t in texts], 200))), key=repr)
 
 
 def test_parts_of_one_anchor_merge_by_binary_search(monkeypatch):
@@ -146,12 +155,11 @@ def test_parts_of_one_anchor_merge_by_binary_search(monkeypatch):
     stretches = [bytes(r.choices(range(97, 123), k=40)) + shared + bytes(r.choices(range(97, 123), k=40)) for _ in range(40)]
     for size in (1 << 20, 900):
         monkeypatch.setattr(suffix_dedup, "SHARD", size)
-        got = set(suffix_dedup._repeats(((7, bytes([k]), 0, s) for k, s in enumerate(stretches)), 200))
+        got = set(suffix_dedup._repeats(((7, k, k == 5, s) for k, s in enumerate(stretches)), 200))
         for k, s in enumerate(stretches):
-            lo = hi = None
             flags = [any(s[i : i + 200] in o for j, o in enumerate(stretches) if j != k) for i in range(len(s) - 199)]
             lo, hi = flags.index(True), len(flags) - 1 - flags[::-1].index(True)
-            assert (bytes([k]), lo, hi + 200) in got
+            assert ((7, k, 0, len(s)) if k == 5 else (7, k, lo, hi + 200)) in got
 
 
 def test_suffix_array_and_common_prefixes():

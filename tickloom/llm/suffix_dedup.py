@@ -7,8 +7,10 @@ anchor. Each shard sorts the suffixes of its distinct stretches by Larsson-Sadak
 of neighbours by Kasai's bound, and marks the strings whose prefix of `length` bytes a neighbour shares. An anchor whose
 stretches do not fit one shard is split over several, which are merged by binary search.
 
-Equal texts form a class at once and enter the search as one, whatever their number. Anchors in very many stretches are
-dealt by the content next to them as well, so that no task gets a whole group of different contexts.
+Equal texts form a class at once and enter the search as one, whatever their number, and so do equal stretches: a shard
+holds a stretch once, told whether it occurs at two places or more. Anchors at many places are dealt by the content next
+to them as well, and those at very many by each whole string, so that no task gets a whole group of different contexts
+and the parts of one anchor stay below HOTTEST stretches.
 """
 
 from __future__ import annotations
@@ -21,13 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, stage, text_chunks, _powers
+from .common import mix, prefix_hashes, stage, text_chunks, unstage, _powers
 
 LENGTH, GRAM = 200, 64
 #: Bytes of distinct stretches in a shard.
-SHARD = 4 << 20
-#: An anchor at more places than this is dealt in blocks of BLOCK string starts, each by the content they share.
-HOT, BLOCK = 1_000, 17
+SHARD = 1 << 20
+#: An anchor at more places than HOT is dealt in blocks of BLOCK string starts, each by the content they share; at more
+#: than HOTTEST, in blocks of one.
+HOT, BLOCK, HOTTEST = 1_000, 17, 100_000
+#: Tasks that the places of one stretch of such anchors go to.
+SALTS = 16
 
 
 # -- anchors --------------------------------------------------------------------------------------------------------
@@ -89,8 +94,9 @@ def _anchor_rows(batches, length: int):
 
 
 def _stretches(batches, length: int):
-    """(shard key, text key, start, bytes) of the stretches of the anchors that occur at two places or more."""
-    schema = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("start", pa.int32()), ("bytes", pa.binary())])
+    """(at, digest, hot, key, start, bytes) of the stretches of the wanted anchors: what they are dealt by, a hash of
+    their bytes, whether their anchor is at many places, the text's key and the place in it."""
+    schema = pa.schema([("at", pa.int64()), ("digest", pa.int64()), ("hot", pa.bool_()), ("key", pa.binary()), ("start", pa.int32()), ("bytes", pa.binary())])
     for batch in batches:
         out, size = [], 0
         for text, key, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -99,23 +105,26 @@ def _stretches(batches, length: int):
                 continue
             data = np.frombuffer(raw, np.uint8)
             place, first, last, h = anchors(data, np.array([0, len(data)]), length)
-            hot = {x["place"]: x["hot"] for x in wanted}
+            block = {x["place"]: x["block"] for x in wanted}
             for p, a, z, x in zip(place.tolist(), first.tolist(), last.tolist(), h.view(np.int64).tolist()):
-                if p not in hot:
+                if p not in block:
                     continue
-                if not hot[p]:
+                k = block[p]
+                if not k:
                     pieces = [(x, a, z)]
                 else:
                     pieces = []
-                    for b in range((p - z) // BLOCK, (p - a) // BLOCK + 1):
-                        lo, hi = p - BLOCK * b - BLOCK + 1, p - BLOCK * b  # starts of the block
-                        core = hashlib.blake2b(raw[hi : lo + length] if lo >= 0 else raw[hi : hi + length - BLOCK + 1], digest_size=8, salt=b.to_bytes(4, "little"))
+                    for b in range((p - z) // k, (p - a) // k + 1):
+                        lo, hi = p - k * b - k + 1, p - k * b  # starts of the block
+                        core = hashlib.blake2b(raw[hi : hi - k + 1 + length], digest_size=8, salt=b.to_bytes(4, "little"))
                         core.update(x.to_bytes(8, "little", signed=True))
                         pieces.append((int.from_bytes(core.digest(), "little", signed=True), max(a, lo), min(z, hi)))
                 for at, s, e in pieces:
-                    out.append((at, key, s, raw[s : e + length]))
-                    size += e + length - s
-            if size > 8 << 20:
+                    piece = raw[s : e + length]
+                    digest = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
+                    out.append((at, digest, k > 0, key, s, piece))
+                    size += len(piece)
+            if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out, size = [], 0
         if out:
@@ -142,18 +151,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """
     n = len(data)
     words = _words_at(data)
-    order = np.argsort(words, kind="stable")
-    new = np.r_[True, words[order][1:] != words[order][:-1]]
-    group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = group
+    order = np.argsort(words, kind="stable").astype(np.int32)
+    words = words[order]
+    new = np.r_[True, words[1:] != words[:-1]]
+    del words
+    rank = np.empty(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     h = 8
     where = np.flatnonzero(~(new & np.r_[new[1:], True]))  # places in the order whose groups have several members
     while len(where):
-        at = order[where]
-        follow = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + n + 1, n - at)  # past the end: the shorter first
+        at = order[where].astype(np.int64)
+        follow = np.where(at + h < n, rank[np.minimum(at + h, n - 1)].astype(np.int64) + n + 1, n - at)  # past the end: the shorter first
         own = rank[at]
-        by = np.argsort((own << 32) | follow, kind="stable")
+        by = np.argsort((own.astype(np.int64) << 32) | follow, kind="stable")
         at, own, follow = at[by], own[by], follow[by]
         order[where] = at
         new = np.r_[True, (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])]
@@ -173,17 +183,17 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarra
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
-    before = np.empty(n, np.int64)
+    before = np.empty(n, np.int32)
     before[order[1:]] = order[:-1]
     before[order[0]] = -1
     words = _words_at(data)
-    known = np.zeros(n, np.int64)
+    known = np.zeros(n, np.int32)
 
     def extend(at: np.ndarray, low: np.ndarray) -> None:
         have = np.where(before[at] < 0, 0, low)
         live = np.flatnonzero(before[at] >= 0)
         while len(live):
-            a, b, k = at[live], before[at[live]], have[live]
+            a, b, k = at[live], before[at[live]].astype(np.int64), have[live].astype(np.int64)
             end = np.maximum(a, b) + k
             inside = (end < n) & (k < most)
             live, a, b, k, end = live[inside], a[inside], b[inside], k[inside], end[inside]
@@ -264,48 +274,46 @@ class Shard:
             other.repeated[other.order[lo[hit]]] = True
 
 
-def _repeats(rows: Iterator[tuple[int, bytes, int, bytes]], length: int) -> Iterator[tuple[bytes, int, int]]:
-    """(key, first, end) of covered bytes, for rows (shard key, text key, start, bytes) in shard key order."""
+def _repeats(rows: Iterator[tuple[int, int, bool, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(at, digest, first, end) of covered bytes of distinct stretches (at, digest, several, bytes), in order of at.
 
-    def finish(members: dict[bytes, list], names: list[bytes], shard: Shard) -> Iterator[tuple[bytes, int, int]]:
-        for name, a in zip(names, shard.first.tolist()):
-            n = len(name) - length + 1
-            places = members[name]
-            flags = np.ones(n, bool) if len(places) > 1 else shard.repeated[a : a + n]
-            edge = np.flatnonzero(np.diff(np.r_[0, flags.astype(np.int8), 0]))
-            for key, start in places:
-                for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
-                    yield key, start + s, start + e - 1 + length
+    several: the stretch is at two places or more, so all of it is covered.
+    """
+
+    def finish(members: list[tuple[int, int, bool]], shard: Shard) -> Iterator[tuple[int, int, int, int]]:
+        ends = np.r_[shard.first[1:], len(shard.data)].tolist()
+        for (at, digest, several), a, z in zip(members, shard.first.tolist(), ends):
+            if several:
+                yield at, digest, 0, z - a
+                continue
+            edge = np.flatnonzero(np.diff(np.r_[0, shard.repeated[a : z - length + 1].astype(np.int8), 0]))
+            for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                yield at, digest, s, e - 1 + length
 
-    members: dict[bytes, list] = {}
-    size, last, parts = 0, None, []
-    for at, key, start, raw in rows:
-        if size >= SHARD and raw not in members:
+    def merged(members, names, parts) -> None:
+        shard = Shard(names, length)
+        for _, other in parts:
+            shard.merge(other)
+            other.words = None
+        shard.words = None
+        parts.append((members, shard))
+
+    members, names, size, last, parts = [], [], 0, None, []
+    for at, digest, several, raw in rows:
+        if size >= SHARD:
             # full: between anchors the shard ends, within one it becomes a part to merge
-            names = list(members)
-            shard = Shard(names, length)
+            merged(members, names, parts)
+            members, names, size = [], [], 0
             if at != last:
-                for _, _, other in parts:
-                    shard.merge(other)
-                for x in (*parts, (members, names, shard)):
+                for x in parts:
                     yield from finish(*x)
                 parts = []
-            else:
-                for _, _, other in parts:
-                    shard.merge(other)
-                parts.append((members, names, shard))
-            members, size = {}, 0
-        if raw not in members:
-            members[raw] = []
-            size += len(raw)
-        members[raw].append((key, start))
+        members.append((at, digest, several))
+        names.append(raw)
+        size += len(raw)
         last = at
     if members:
-        names = list(members)
-        shard = Shard(names, length)
-        for _, _, other in parts:
-            shard.merge(other)
-        parts.append((members, names, shard))
+        merged(members, names, parts)
     for x in parts:
         yield from finish(*x)
 
@@ -313,24 +321,25 @@ def _repeats(rows: Iterator[tuple[int, bytes, int, bytes]], length: int) -> Iter
 def _shard_rows(batches, length: int):
     def rows():
         for batch in batches:
-            yield from zip(*(c.to_pylist() for c in batch.columns))
+            for i in range(0, batch.num_rows, 1000):
+                yield from zip(*(c.to_pylist() for c in batch.slice(i, 1000).columns))
 
-    out: tuple[list, list, list] = ([], [], [])
-    types = pa.binary(), pa.int32(), pa.int32()
+    names, types = ["at", "digest", "first", "end"], (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    out: list[tuple] = []
     for r in _repeats(rows(), length):
-        for c, x in zip(out, r):
-            c.append(x)
-        if len(out[0]) >= 20_000:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], ["key", "first", "end"])
-            out = ([], [], [])
-    yield pa.record_batch([pa.array(c, t) for c, t in zip(out, types)], ["key", "first", "end"])
+        out.append(r)
+        if len(out) >= 20_000:
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            out = []
+    if out:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
 
 def _cut(batches):
-    """What is left of each text: (doc_id, key, n_removed, n_spans, kept_sha256)."""
+    """What is left of each text: (key, n_removed, n_spans, kept_sha256)."""
     for batch in batches:
-        docs, keys, removed, spans, sha = [], [], [], [], []
-        for doc, text, key, covered in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        out = []
+        for text, key, covered in zip(*(batch.column(i).to_pylist() for i in range(3))):
             raw = (text or "").encode("utf-8", "surrogatepass")
             if _key(raw) != key:
                 continue
@@ -345,46 +354,61 @@ def _cut(batches):
                 left.update(raw[at:a])
                 at = b
             left.update(raw[at:])
-            docs.append(doc)
-            keys.append(key)
-            removed.append(sum(b - a for a, b in merged))
-            spans.append(len(merged))
-            sha.append(left.hexdigest())
-        types = pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.string()
-        yield pa.record_batch([pa.array(c, t) for c, t in zip((docs, keys, removed, spans, sha), types)], ["doc_id", "key", "n_removed", "n_spans", "kept_sha256"])
+            out.append((key, sum(b - a for a, b in merged), len(merged), left.hexdigest()))
+        columns = zip(*out) if out else [[]] * 4
+        types = pa.binary(), pa.int64(), pa.int64(), pa.string()
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], ["key", "n_removed", "n_spans", "kept_sha256"])
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row of docs (doc_id, text), texts as UTF-8 bytes.
 
     A null text is empty. Rows of equal texts repeat each other, so of `length` bytes on they go as a whole; rows that
-    repeat a doc_id with other texts are judged by themselves. A row of a null doc_id is returned, and its text counts
-    only against equal texts. Other columns are ignored; an empty table gives no rows.
+    repeat a doc_id with other texts are judged by themselves, and so are rows of a null doc_id. Other columns are
+    ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     raw = F.encode("text", "UTF-8")
-    slim = own.select("doc_id", F.unhex(F.md5(raw)).alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
+    key = F.unhex(F.md5(raw)).alias("key")
+    slim = own.select("doc_id", key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("sha"))
     slim = stage(slim, "texts")
     copies = slim.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("doc_id"))
+
+    def read_again(asked):
+        """(text, key, ...) of what is asked for (doc_id, key, ...): texts by the least doc_id, those without one by their key."""
+        rest = [c for c in asked.columns if c != "doc_id"]
+        told = own.join(asked.where("doc_id is not null"), "doc_id").select("text", *rest)
+        bare = own.where("doc_id is null").groupBy(key).agg(F.first("text").alias("text"))
+        return told.unionByName(bare.join(asked.where("doc_id is null"), "key").select("text", *rest))
+
     found = own.where(F.octet_length("text") >= length).select("text").mapInArrow(lambda it: _anchor_rows(it, length), "hash long, key binary, place int")
     found = stage(found, "anchors")
     # two places, whichever copy of a text they are in
     ends = found.groupBy("hash").agg(F.min(F.struct("key", "place")).alias("lo"), F.max(F.struct("key", "place")).alias("hi"), F.count(F.lit(1)).alias("n"))
-    twice = ends.where("lo != hi").select("hash", (F.col("n") > HOT).alias("hot"))
-    wanted = found.join(twice, "hash").groupBy("key").agg(F.collect_set(F.struct("place", "hot")).alias("places"))
+    block = F.when(F.col("n") > HOTTEST, 1).when(F.col("n") > HOT, BLOCK).otherwise(0)
+    twice = ends.where("lo != hi").select("hash", block.alias("block"))
+    wanted = found.join(twice, "hash").groupBy("key").agg(F.collect_set(F.struct("place", "block")).alias("places"))
     wanted = wanted.join(copies.select("key", "doc_id"), "key").select("doc_id", "key", "places")
-    whole = own.join(wanted, "doc_id").select("text", "key", "places")
-    parts = whole.mapInArrow(lambda it: _stretches(it, length), "at long, key binary, start int, bytes binary")
-    # one row for a text: rows that repeat it under the least doc_id give the same stretches twice
+    schema = "at long, digest long, hot boolean, key binary, start int, bytes binary"
+    places = stage(read_again(wanted).select("text", "key", "places").mapInArrow(lambda it: _stretches(it, length), schema), "stretches")
+    unstage(found)
+    # a stretch once, whatever the number of its places; rows that repeat a text give the same places
+    distinct = places.groupBy("at", "digest").agg(F.first("bytes").alias("bytes"), F.min(F.struct("key", "start")).alias("lo"), F.max(F.struct("key", "start")).alias("hi"))
+    distinct = distinct.select("at", "digest", (F.col("lo") != F.col("hi")).alias("several"), "bytes")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = parts.repartition(shards, "at").sortWithinPartitions("at", "key", "start")
-    parts = parts.mapInArrow(_once, parts.schema).mapInArrow(lambda it: _shard_rows(it, length), "key binary, first int, end int")
-    covered = stage(parts, "covered").groupBy("key").agg(F.collect_list(F.struct("first", "end")).alias("covered"))
+    spans = distinct.repartition(shards, "at").sortWithinPartitions("at", "digest").mapInArrow(lambda it: _shard_rows(it, length), "at long, digest long, first int, end int")
+    spans = stage(spans, "spans")
+    # the places of a stretch in salted parts where its anchor is at many places
+    hot = places.where("hot").select("at").distinct().withColumn("salts", F.lit(SALTS))
+    salted = spans.join(hot, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int")).otherwise(0)
+    covered = places.select("at", "digest", "key", "start", salt.alias("salt")).join(salted, ["at", "digest", "salt"])
+    covered = covered.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("end")).alias("end"))).alias("covered"))
     single = copies.where("copies = 1").select("key", "doc_id")
-    cut = own.join(covered.join(single, "key").select("doc_id", "key", "covered"), "doc_id").select("doc_id", "text", "key", "covered")
-    cut = cut.mapInArrow(_cut, "doc_id long, key binary, n_removed long, n_spans long, kept_sha256 string")
-    out = slim.join(copies.where("copies > 1").select("key", "copies"), "key", "left").join(cut.drop("doc_id"), "key", "left")
+    cut = read_again(covered.join(single, "key").select("doc_id", "key", "covered")).select("text", "key", "covered")
+    cut = cut.mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    out = slim.join(copies.where("copies > 1").select("key", "copies"), "key", "left").join(cut, "key", "left")
     gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     return out.select(
         "doc_id",
@@ -393,13 +417,3 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(gone, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
-
-
-def _once(batches):
-    last = None
-    for batch in batches:
-        keep = []
-        for r in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            keep.append(r != last)
-            last = r
-        yield batch.filter(pa.array(keep, pa.bool_()))
