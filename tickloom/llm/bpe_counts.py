@@ -32,7 +32,7 @@ def _byte_symbols() -> list[str]:
 
 
 class ByteBpe:
-    MOST = 1_000_000  # pieces kept by a Python worker
+    MOST = 500_000  # pieces kept by a Python worker
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:

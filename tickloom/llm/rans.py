@@ -114,6 +114,11 @@ NEW, HELD = 50_000, 300_000
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
+def id_type(tokenizer) -> str:
+    """The numpy type that holds every id of the tokenizer and END_ID."""
+    return "<u2" if tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+
+
 class _Words:
     """Ids of the pieces between blanks, as little-endian 16- or 32-bit bytes, encoded by the library when first seen.
 
@@ -121,14 +126,14 @@ class _Words:
     their lower-case letters, so that the library sees each of those once.
     """
 
-    MOST = 1_000_000  # pieces kept by a Python worker
+    MOST = 500_000  # pieces kept by a Python worker
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}  # no subclass: set.difference is quick with plain ones only
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = "<u2" if self.tokenizer.get_vocab_size() < 1 << 16 else "<u4"
+        self.dtype = id_type(self.tokenizer)
         mark = self.tokenizer.encode(_SEPARATOR, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -262,14 +267,16 @@ def _read(batches, frequencies: np.ndarray, bases: dict[int, int]):
             )
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, dtype: str = "<u2") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     """Writes the token files of docs (doc_id, text), each text ended by END_ID, in ascending doc_id order.
 
     Null doc_ids come first; rows that repeat a doc_id are in the order of their ids; a null text is an empty one. The
     ids pass a table in the shared folder, so nothing is tokenised twice. Of the driver's data, the frequencies grow
     with the vocabulary and the shard totals with the number of partitions, neither with the rows.
     """
-    spark = docs.sparkSession
+    from tokenizers import Tokenizer
+
+    spark, dtype = docs.sparkSession, id_type(Tokenizer.from_file(tokenizer_path))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _tokenised(it, tokenizer_path), "doc_id long, ids binary")
     ids = stage(ids, "ids")
     counted = ids.select("ids").mapInArrow(lambda it: _counts(it, dtype), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect()
