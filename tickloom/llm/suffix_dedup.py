@@ -8,7 +8,7 @@ of neighbours by Kasai's bound, and marks the strings whose prefix of `length` b
 stretches do not fit one shard is split over several, which are merged by binary search.
 
 Equal texts form a class at once and enter the search as one, whatever their number, and so do equal stretches: a shard
-holds a stretch once, told whether it occurs at two places or more. Anchors at many places are dealt by the content next
+holds a stretch once, and one at two places or more repeats as a whole. Anchors at many places are dealt by the content next
 to them as well, and those at very many by each whole string, so that no task gets a whole group of different contexts
 and the parts of one anchor stay below HOTTEST stretches.
 """
@@ -31,6 +31,8 @@ SHARD = 1 << 20
 #: An anchor at more places than HOT is dealt in blocks of BLOCK string starts, each by the content they share; at more
 #: than HOTTEST, in blocks of one.
 HOT, BLOCK, HOTTEST = 1_000, 17, 100_000
+#: Stretches that a task remembers to have given the bytes of.
+SEEN = 200_000
 #: Tasks that the places of one stretch of such anchors go to.
 SALTS = 16
 
@@ -94,9 +96,13 @@ def _anchor_rows(batches, length: int):
 
 
 def _stretches(batches, length: int):
-    """(at, digest, hot, key, start, bytes) of the stretches of the wanted anchors: what they are dealt by, a hash of
-    their bytes, whether their anchor is at many places, the text's key and the place in it."""
-    schema = pa.schema([("at", pa.int64()), ("digest", pa.int64()), ("hot", pa.bool_()), ("key", pa.binary()), ("start", pa.int32()), ("bytes", pa.binary())])
+    """(at, digest, hot, key, start, size, bytes) of the stretches of the wanted anchors: what they are dealt by, a hash
+    of their bytes, whether their anchor is at many places, the text's key and the place in it.
+
+    The bytes of a stretch come with the first of its rows, or with a few if the task has seen many others since.
+    """
+    schema = pa.schema([("at", pa.int64()), ("digest", pa.int64()), ("hot", pa.bool_()), ("key", pa.binary()), ("start", pa.int32()), ("size", pa.int32()), ("bytes", pa.binary())])
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         out, size = [], 0
         for text, key, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -122,8 +128,14 @@ def _stretches(batches, length: int):
                 for at, s, e in pieces:
                     piece = raw[s : e + length]
                     digest = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-                    out.append((at, digest, k > 0, key, s, piece))
-                    size += len(piece)
+                    new = (at, digest) not in seen
+                    if new:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add((at, digest))
+                        size += len(piece)
+                    out.append((at, digest, k > 0, key, s, len(piece), piece if new else None))
+                    size += 40
             if size > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
                 out, size = [], 0
@@ -274,18 +286,12 @@ class Shard:
             other.repeated[other.order[lo[hit]]] = True
 
 
-def _repeats(rows: Iterator[tuple[int, int, bool, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
-    """(at, digest, first, end) of covered bytes of distinct stretches (at, digest, several, bytes), in order of at.
+def _repeats(rows: Iterator[tuple[int, int, bytes]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """(at, digest, first, end) of bytes that distinct stretches (at, digest, bytes), in order of at, share with others."""
 
-    several: the stretch is at two places or more, so all of it is covered.
-    """
-
-    def finish(members: list[tuple[int, int, bool]], shard: Shard) -> Iterator[tuple[int, int, int, int]]:
+    def finish(members: list[tuple[int, int]], shard: Shard) -> Iterator[tuple[int, int, int, int]]:
         ends = np.r_[shard.first[1:], len(shard.data)].tolist()
-        for (at, digest, several), a, z in zip(members, shard.first.tolist(), ends):
-            if several:
-                yield at, digest, 0, z - a
-                continue
+        for (at, digest), a, z in zip(members, shard.first.tolist(), ends):
             edge = np.flatnonzero(np.diff(np.r_[0, shard.repeated[a : z - length + 1].astype(np.int8), 0]))
             for s, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
                 yield at, digest, s, e - 1 + length
@@ -298,20 +304,22 @@ def _repeats(rows: Iterator[tuple[int, int, bool, bytes]], length: int) -> Itera
         shard.words = None
         parts.append((members, shard))
 
-    members, names, size, last, parts = [], [], 0, None, []
-    for at, digest, several, raw in rows:
+    members, names, size, last, parts = [], [], 0, (None, None), []
+    for at, digest, raw in rows:
+        if (at, digest) == last:  # another task's
+            continue
         if size >= SHARD:
             # full: between anchors the shard ends, within one it becomes a part to merge
             merged(members, names, parts)
             members, names, size = [], [], 0
-            if at != last:
+            if at != last[0]:
                 for x in parts:
                     yield from finish(*x)
                 parts = []
-        members.append((at, digest, several))
+        members.append((at, digest))
         names.append(raw)
         size += len(raw)
-        last = at
+        last = at, digest
     if members:
         merged(members, names, parts)
     for x in parts:
@@ -384,21 +392,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     found = own.where(F.octet_length("text") >= length).select("text").mapInArrow(lambda it: _anchor_rows(it, length), "hash long, key binary, place int")
     found = stage(found, "anchors")
-    # two places, whichever copy of a text they are in
-    ends = found.groupBy("hash").agg(F.min(F.struct("key", "place")).alias("lo"), F.max(F.struct("key", "place")).alias("hi"), F.count(F.lit(1)).alias("n"))
+    # two places, whichever copy of a text they are in; a place by its hash
+    where = F.xxhash64("key", "place")
+    ends = found.select("hash", where.alias("at")).groupBy("hash").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count(F.lit(1)).alias("n"))
     block = F.when(F.col("n") > HOTTEST, 1).when(F.col("n") > HOT, BLOCK).otherwise(0)
     twice = ends.where("lo != hi").select("hash", block.alias("block"))
     wanted = found.join(twice, "hash").groupBy("key").agg(F.collect_set(F.struct("place", "block")).alias("places"))
     wanted = wanted.join(copies.select("key", "doc_id"), "key").select("doc_id", "key", "places")
-    schema = "at long, digest long, hot boolean, key binary, start int, bytes binary"
+    schema = "at long, digest long, hot boolean, key binary, start int, size int, bytes binary"
     places = stage(read_again(wanted).select("text", "key", "places").mapInArrow(lambda it: _stretches(it, length), schema), "stretches")
     unstage(found)
-    # a stretch once, whatever the number of its places; rows that repeat a text give the same places
-    distinct = places.groupBy("at", "digest").agg(F.first("bytes").alias("bytes"), F.min(F.struct("key", "start")).alias("lo"), F.max(F.struct("key", "start")).alias("hi"))
-    distinct = distinct.select("at", "digest", (F.col("lo") != F.col("hi")).alias("several"), "bytes")
     shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = distinct.repartition(shards, "at").sortWithinPartitions("at", "digest").mapInArrow(lambda it: _shard_rows(it, length), "at long, digest long, first int, end int")
-    spans = stage(spans, "spans")
+    distinct = places.where("bytes is not null").select("at", "digest", "bytes").repartition(shards, "at").sortWithinPartitions("at", "digest")
+    spans = distinct.mapInArrow(lambda it: _shard_rows(it, length), "at long, digest long, first int, end int")
+    # a stretch at two places or more repeats as a whole; rows that repeat a text give the same places
+    several = places.select("at", "digest", "size", F.xxhash64("key", "start").alias("place")).groupBy("at", "digest").agg(F.max("size").alias("size"), F.min("place").alias("lo"), F.max("place").alias("hi"))
+    spans = stage(spans.unionByName(several.where("lo != hi").select("at", "digest", F.lit(0).alias("first"), F.col("size").alias("end"))), "spans")
     # the places of a stretch in salted parts where its anchor is at many places
     hot = places.where("hot").select("at").distinct().withColumn("salts", F.lit(SALTS))
     salted = spans.join(hot, "at", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
