@@ -184,10 +184,11 @@ def _cells(batches, k: int, percent: int, read, judge):
         yield batch.select(["a", "b", "cell"]).filter(pa.array(keep))
 
 
-def _blocks(listed: DataFrame) -> DataFrame:
+def _blocks(listed: DataFrame, percent: int) -> DataFrame:
     """(node, block, typical) of members of lists: block, a part of a bounded number and total size of a node's longest
-    list; typical, the greater the longer the lists of its values."""
-    top = listed.groupBy("node").agg(F.max(F.struct("members", "value", "total")).alias("t"), F.avg(F.log("members")).alias("typical"))
+    list; typical, the greater the longer the lists of its prefix and the fewer its values that are in none."""
+    prefix = F.max("n") - F.ceil(F.max("n") * percent / 100) + 1
+    top = listed.groupBy("node").agg(F.max(F.struct("members", "value", "total")).alias("t"), (F.sum(F.log("members")) / prefix).alias("typical"))
     parts = F.greatest(F.ceil(F.col("t.members") / CELL_MEMBERS), F.ceil(F.col("t.total") / CELL_SHINGLES))
     return top.select("node", F.xxhash64("t.value", F.pmod(F.xxhash64("node"), parts)).alias("block"), "typical")
 
@@ -263,7 +264,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
     every_listed = stage(postings.join(shared, "value"), "listed")
     unstage(postings)
-    blocks = stage(_blocks(every_listed), "blocks")
+    blocks = stage(_blocks(every_listed, percent), "blocks")
     listed = every_listed.select("value", "node", "n", "members")
     block = lambda x: blocks.select(F.col("node").alias(x), F.col("block").alias(f"b{x}"))
     fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
