@@ -19,13 +19,15 @@ from .functions.clock import Clock, session_for
 from .functions.interval import interval, looks_like_interval
 from .functions.render import FORMATS, rendered
 from .functions.report import by_symbol
-from .functions.schema import kind_of, stored_bars
+from .functions.schema import kind_from_token, kind_of, stored_bars, stored_calc
 from .operators import inspect, stats
 from .operators.indicators import calc, spec
 from .plans.request import bars
 from .plans.store import BarStore
 from .sources import tables
+from .sources.discover import Settings, settings, table_files
 
+KINDS = ("tick", "ticks", "bar", "bars")
 VERBS = ("ls", "inspect", "verify", "stat", "bars", "calc", "sync", "unsync")
 
 
@@ -77,13 +79,24 @@ def is_spec(word: str) -> bool:
 
 def source(spark: SparkSession, paths: Sequence[str], symbols: str | None = None) -> DataFrame:
     """The series of all paths; of the named symbols, if there are any."""
-    if not paths:
-        raise ValueError("a path is needed")
     tables.check_session(spark)
     out = tables.union_sources([spark.read.parquet(p) for p in paths])
     return tables.of_symbols(out, symbols.split(",")) if symbols else out
 
 
+def listed(spark: SparkSession, paths: Sequence[str], kind: str | None = None, symbols: str | None = None) -> DataFrame:
+    """The catalogue of the tables, of ticks and bars side by side, with where each series is and its files' bytes."""
+    out = None
+    for own in ("tick", "bar"):
+        mine = [p for p in paths if kind_of(spark.read.parquet(p)) == own] if kind in (None, own) else []
+        if mine:
+            rows = inspect.catalogue(source(spark, mine, symbols), own).join(table_files(spark, mine), "symbol")
+            out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError(f"no {kind} tables")
+    return out.orderBy("symbol", "kind")
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tickloom")
     p.add_argument("verb", choices=VERBS)
@@ -92,7 +105,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--start")
     p.add_argument("--end")
     p.add_argument("--session", help="HH:MM-HH:MM")
-    p.add_argument("--tz", default="America/New_York")
+    p.add_argument("--tz")
+    p.add_argument("--config", help="a TOML file of settings")
     p.add_argument("--actions", help="a TOML file with [actions]")
     p.add_argument("--total-return", action="store_true")
     p.add_argument("--summary", action="store_true")
@@ -106,6 +120,8 @@ def parser() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
     """The lines that a command prints."""
     a = parser().parse_intermixed_args(argv)
+    told = settings(Path(a.config).read_text()) if a.config else Settings()
+    a.tz, a.session, a.store, a.periods_per_year = a.tz or told.tz, a.session or told.session, a.store or told.store, a.periods_per_year or told.periods_per_year
     w = classify(a.words, a.tz)
     start, end = w.span or (None, None)
     # a flag goes before its side of the range
@@ -122,16 +138,24 @@ def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
             key = store.unsync(spark, every, clock, w.rth, really=a.force)
             yield f"removed {key}" if a.force else f"would remove {key}; --force does"
         else:
-            held = store.sync(source(spark, w.paths, a.symbols), every, clock, w.rth, a.force)
+            held = store.sync(source(spark, told.paths(w.paths), a.symbols), every, clock, w.rth, a.force)
             yield from rendered(held.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.max("time").alias("last")).orderBy("symbol"), form, a.tz)
         return
-    rows = source(spark, w.paths, a.symbols)
+    if a.verb == "ls" and (kinds := [x for x in w.paths if x.lower() in KINDS]):
+        w.paths = [x for x in w.paths if x not in kinds]
+        if len(kinds) > 1:
+            raise ValueError(f"said twice: {kinds[1]}")
+    else:
+        kinds = []
+    paths = told.paths(w.paths)
+    if a.verb == "ls":
+        yield from rendered(listed(spark, paths, kind_from_token(kinds[0]) if kinds else None, a.symbols), form, a.tz)
+        return
+    rows = source(spark, paths, a.symbols)
     kind = kind_of(rows)
     actions = tables.load_actions(spark, Path(a.actions).read_text()) if a.actions else None
     order = [c for c in ("symbol", "time", "seq") if c in rows.columns]
-    if a.verb == "ls":
-        yield from rendered(inspect.catalogue(rows, kind).orderBy("symbol"), form, a.tz)
-    elif a.verb == "inspect":
+    if a.verb == "inspect":
         yield by_symbol("inspect", inspect.catalogue(rows, kind))
         yield from rendered(inspect.preview(rows).orderBy(*order), form, a.tz)
     elif a.verb == "verify":
@@ -143,6 +167,9 @@ def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
         if actions is not None:
             from .operators.adjust import adjust
 
+            if kind == "bar" and (wide := inspect.least_gaps(rows).where(F.col("gap") > inspect.DAY).orderBy("symbol").head(1)):
+                raise ValueError(f"bars of {wide[0].symbol} are wider than a day: an action may fall inside one, so they cannot be adjusted")
+
             rows = adjust(rows, actions, "total" if a.total_return else "split-only")
         yield from rendered(stats.stat(rows).orderBy("symbol"), form, a.tz)
     else:
@@ -155,13 +182,18 @@ def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
             adjustment="total" if a.total_return else "split-only", store=BarStore(a.store) if a.store else None,
         )
         if a.verb == "calc":
-            told = calc(out, *w.specs)
+            added = calc(out, *w.specs)
             if a.summary:
                 returns = stats.return_summary(out, periods_per_year=a.periods_per_year)
-                yield by_symbol("summary", stats.price_summary(out), returns, stats.labels(returns))
-                yield from rendered(stats.column_summary(told, *(spec(s).name for s in w.specs)).orderBy("symbol", "name"), form, a.tz)
+                volatile = next((spec(s).name for s in w.specs if spec(s).kind == "vol"), None)
+                regime = [stats.volatility_regime(added, volatile)] if volatile else []
+                yield by_symbol("summary", stats.price_summary(out), returns, stats.labels(returns), *regime)
+                yield from rendered(stats.column_summary(added, *(spec(s).name for s in w.specs)).orderBy("symbol", "name"), form, a.tz)
                 return
-            out = told.select("symbol", "time", "close", *(spec(s).name for s in w.specs))
+            decimals = {spec(s).name: spec(s).decimals for s in w.specs}
+            out = added.select("symbol", "time", "close", *decimals)
+            if a.output or form in ("csv", "jsonl", "raw"):
+                out = stored_calc(out, decimals)
         if a.output:
             out.write.parquet(a.output)
             yield f"wrote {a.output}"

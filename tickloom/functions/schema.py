@@ -68,6 +68,23 @@ def stored_bars(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "time", *prices, "volume", scale_price(F.col("vwap")).alias("vwap"), "trades")
 
 
+def calc_schema(*columns: str) -> T.StructType:
+    """The stored form of indicator rows: 32-bit fixed-point columns after the price."""
+    return _struct(symbol=_S, time=_L, close=_L, **dict.fromkeys(columns, _I))
+
+
+def stored_calc(rows: DataFrame, decimals: dict[str, int]) -> DataFrame:
+    """The integer form of indicator rows (symbol, time, close, ...): each column in its own decimals, null where absent."""
+    return rows.select("symbol", "time", scale_price(F.col("close")).alias("close"), *(scale_fixed(F.col(c), d).alias(c) for c, d in decimals.items()))
+
+
+def unstored_bars(rows: DataFrame) -> DataFrame:
+    """Bars from their integer form; a vwap of 0 is absent if nothing was traded."""
+    prices = [unscale_price(F.col(c)).alias(c) for c in ("open", "high", "low", "close")]
+    vwap = F.when(F.col("volume") != 0, unscale_price(F.col("vwap")))
+    return rows.select("symbol", "time", *prices, "volume", vwap.alias("vwap"), "trades")
+
+
 def valid_ticks(ticks: DataFrame) -> DataFrame:
     """Provider ticks (symbol, time, seq, price, size) as canonical ticks; a bad price or time raises when it is read."""
     scaled = F.round(F.col("price") * 10_000)

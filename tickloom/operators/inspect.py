@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clock import RTH, Session, local
@@ -31,25 +31,32 @@ def least_gaps(df: DataFrame) -> DataFrame:
 
 def hours(df: DataFrame, rth: Session = RTH) -> DataFrame:
     """(symbol, hours): ``rth`` if all rows are in it, ``extended`` if not, ``n/a`` if all share one minute of the day."""
+    return df.groupBy("symbol").agg(_hours(rth).alias("hours"))
+
+
+def _hours(rth: Session) -> Column:
     here = local(F.col("time"), rth.tz)
     minute = F.hour(here) * 60 + F.minute(here)
-    out = df.groupBy("symbol").agg(F.min(minute).alias("a"), F.max(minute).alias("b"), F.bool_or(~rth.contains(F.col("time"))).alias("outside"))
-    return out.select("symbol", F.when(F.col("a") == F.col("b"), "n/a").when(F.col("outside"), "extended").otherwise("rth").alias("hours"))
+    return F.when(F.min(minute) == F.max(minute), "n/a").when(F.bool_or(~rth.contains(F.col("time"))), "extended").otherwise("rth")
 
 
 def catalogue(df: DataFrame, kind: str, rth: Session = RTH) -> DataFrame:
     """(symbol, kind, rows, first, last, granularity, hours) of each series."""
-    rows = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("time").alias("first"), F.max("time").alias("last"))
-    out = rows.join(least_gaps(df).select("symbol", "granularity"), "symbol").join(hours(df, rth), "symbol")
-    return out.select("symbol", F.lit(kind).alias("kind"), "rows", "first", "last", F.when(F.lit(kind == "bar"), F.col("granularity")).alias("granularity"), "hours")
+    out = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("time").alias("first"), F.max("time").alias("last"), _hours(rth).alias("hours"))
+    # gaps are looked for in bars only: ticks have no granularity, and their gaps would take a sort of every tick
+    out = out.join(least_gaps(df).select("symbol", "granularity"), "symbol") if kind == "bar" else out.withColumn("granularity", F.lit(None).cast("string"))
+    return out.select("symbol", F.lit(kind).alias("kind"), "rows", "first", "last", "granularity", "hours")
 
 
 def preview(df: DataFrame, ends: int = 3) -> DataFrame:
     """The first and last rows of each series, with their place from 1; all where there are no more."""
     order = [c for c in ("time", "seq") if c in df.columns]
-    forth, back = Window.partitionBy("symbol").orderBy(*order), Window.partitionBy("symbol").orderBy(*(F.desc(c) for c in order))
-    out = df.withColumns({"place": F.row_number().over(forth), "__back": F.row_number().over(back)})
-    return out.where((F.col("place") <= ends) | (F.col("__back") <= ends)).drop("__back")
+    # each end is a ranked limit of its own, so that a task sorts and keeps no more than the ends
+    by = Window.partitionBy("symbol")
+    head = df.withColumn("place", F.row_number().over(by.orderBy(*order))).where(F.col("place") <= ends)
+    tail = df.withColumn("__back", F.row_number().over(by.orderBy(*(F.desc(c) for c in order)))).where(F.col("__back") <= ends)
+    tail = tail.join(df.groupBy("symbol").agg(F.count(F.lit(1)).alias("__rows")), "symbol").withColumn("place", (F.col("__rows") - F.col("__back") + 1).cast("int"))
+    return head.unionByName(tail.where(F.col("place") > ends).select(*head.columns))
 
 
 def verify(df: DataFrame) -> DataFrame:
@@ -65,6 +72,7 @@ def verify(df: DataFrame) -> DataFrame:
 def recent(df: DataFrame, n: int = 1000) -> DataFrame:
     """The last n rows of each series (1 to 10,000) with the total before the cut."""
     n = min(max(n, 1), 10_000)
-    w = Window.partitionBy("symbol")
-    out = df.withColumns({"total": F.count(F.lit(1)).over(w), "__r": F.row_number().over(w.orderBy(F.desc("time")))})
-    return out.where(F.col("__r") <= n).drop("__r")
+    total = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("total"))
+    order = [F.desc(c) for c in ("time", "seq") if c in df.columns]
+    last = df.withColumn("__r", F.row_number().over(Window.partitionBy("symbol").orderBy(*order))).where(F.col("__r") <= n)
+    return last.join(total, "symbol").select(*df.columns, "total")

@@ -79,10 +79,11 @@ def labels(summary: DataFrame) -> DataFrame:
 
 
 def volatility_regime(rows: DataFrame, column: str) -> DataFrame:
-    """(symbol, regime): the last value of a volatility column against its mean."""
+    """(symbol, regime): the last value of a volatility column against its mean; null unless the mean is above 0."""
     s = column_summary(rows, column)
-    ratio = F.try_divide(F.col("last"), F.col("mean"))
-    return s.select("symbol", F.when(ratio > 1.25, "elevated").when(ratio < 0.8, "subdued").otherwise("normal").alias("regime"))
+    ratio = F.when(F.col("mean") > 0, F.col("last") / F.col("mean"))
+    regime = F.when(ratio > 1.25, "elevated").when(ratio < 0.8, "calm").when(ratio.isNotNull(), "normal")
+    return s.select("symbol", regime.alias("regime"))
 
 
 def summarize(bars: DataFrame, method: str = "log", periods_per_year: float = 252.0) -> DataFrame:

@@ -42,10 +42,14 @@ def drained(bars: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def refresh_on_batch(ticks: DataFrame, store: BarStore, history: str, every: str, clock: Clock):
-    """A writer that appends each micro-batch to the tick history and refreshes the stored bars from their last bucket on."""
+    """A writer that adds each micro-batch to the tick history and refreshes the stored bars from their last bucket on.
 
-    def each(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("append").parquet(history)
-        store.sync(batch.sparkSession.read.schema(batch.schema).parquet(history), every, clock)
+    A batch is a folder of the history that is named by its epoch, so one that is replayed after a failure replaces
+    itself. The history has to belong to the stream's checkpoint.
+    """
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{history}/epoch={epoch}")
+        store.sync(batch.sparkSession.read.schema(batch.schema).parquet(history).select(*batch.columns), every, clock)
 
     return ticks.writeStream.foreachBatch(each)
