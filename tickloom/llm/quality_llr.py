@@ -42,32 +42,36 @@ def with_words(docs: DataFrame) -> DataFrame:
     return bound(docs, __w=words(docs["text"]))
 
 
-def base_rules(worded: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with text and __w.
+def base_rules(worded: DataFrame, buckets: int | None = None, ratios: list[float] | None = None) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed to rows with text and __w, and
+    takes __w away; with ratios of so many buckets, adds llr too.
 
-    Columns of these names are replaced.
+    Columns of these names are replaced. Arrays are dropped as soon as what is wanted of them is known, since each
+    step copies its rows.
     """
     text = F.coalesce("text", F.lit(""))
     bare = lambda x: F.translate(x, " \t\n\x0b\x0c\r", "")
     windows = F.transform(F.sequence(F.lit(0), F.size("__w") - 3), lambda i: F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)))
     out = bound(
         worded,
+        n_words=F.size("__w").cast("long"),
+        word_chars=F.length(bare(text)).cast("long"),
+        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         __lines=F.filter(F.split(text, "\n"), lambda x: F.length(bare(x)) > 0),
         __h=F.when(F.size("__w") >= 4, windows).otherwise(F.array().cast("array<bigint>")),
-    )
+        **({} if ratios is None else {"__b": _buckets(buckets)}),
+    ).drop("__w")
     repeated = F.size("__h") > F.size(F.array_distinct("__h"))
     places = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    out = bound(out, __s=F.when(repeated, places).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")))
     out = bound(
         out,
-        n_words=F.size("__w").cast("long"),
-        word_chars=F.length(bare(text)).cast("long"),
-        n_symbols=(F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-        n_repeat_words=F.when(F.size("__s") > 0, _n_repeat("__s")).otherwise(0).cast("long"),
-    )
+        __s=F.when(repeated, places).otherwise(F.array().cast("array<struct<h:bigint,i:int>>")),
+        **({} if ratios is None else {"llr": score(ratios)}),
+    ).drop("__lines", "__h", "__b")
+    out = bound(out, n_repeat_words=F.when(F.size("__s") > 0, _n_repeat("__s")).otherwise(0).cast("long")).drop("__s")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__lines", "__h", "__s")
+    return out.withColumn("base_failed", failed)
 
 
 def _buckets(buckets: int) -> F.Column:
@@ -130,6 +134,4 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sa
     ratios = [math.log((target.get(b, 0) + 1) / all_target) - math.log((raw.get(b, 0) + 1) / all_raw) for b in range(buckets)]
     scored = bound(held, __b=_buckets(buckets)).select(score(ratios), "__q", F.size("__w"))
     threshold = fitted_threshold([(x, q) for x, q, n in scored.collect() if n >= 50])
-    out = bound(base_rules(worded), __b=_buckets(buckets))
-    out = bound(out, llr=score(ratios))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold))).drop("__w", "__b")
+    return base_rules(worded, buckets, ratios).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= F.lit(threshold)))
