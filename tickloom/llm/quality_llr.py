@@ -24,11 +24,13 @@ SYMBOLS = "#*$%&|<>"
 def bound(df: DataFrame, **columns: F.Column) -> DataFrame:
     """df with the columns, each worked out once for a row.
 
-    They come from a generator of one row. The optimiser neither moves a filter on them below it nor puts their
-    expressions in the place of their names, where a lambda would repeat them for each word.
+    A condition that always holds but counts as not deterministic keeps the optimiser from moving a filter on them below
+    this projection and from putting their expressions in the place of their names, where a lambda would repeat them for
+    each word. Their values are deterministic. A comparison with rand() would not do, as the optimiser decides it.
     """
     kept = [c for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline_outer(F.array(F.struct(*[x.alias(name) for name, x in columns.items()]))))
+    always = F.spark_partition_id() >= 0
+    return df.select(*kept, *[F.when(always, x).alias(name) for name, x in columns.items()])
 
 
 def _n_repeat(s: str) -> F.Column:
@@ -62,7 +64,7 @@ def base_rules(worded: DataFrame, buckets: int | None = None, ratios: list[float
         **({} if ratios is None else {"__b": _buckets(buckets)}),
     ).drop("__w")
     repeated = F.size("__h") > F.size(F.array_distinct("__h"))
-    places = F.array_sort(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    places = F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     out = bound(
         out,
         n_dup_lines=(F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
