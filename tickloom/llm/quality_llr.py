@@ -129,8 +129,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, sa
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("__q"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = stage(known.select(F.col("doc_id").alias("__id"), "__q"), "labelled")
-    held = worded.select("doc_id", "__w").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    held = stage(held.select("doc_id", "__q", "__w"), "sample")
+    held = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
+    held = stage(with_words(held).select("doc_id", "__q", "__w"), "sample")
     raw, target = _counts(worded.select("__w"), buckets), _counts(held.where("__q = 1"), buckets)
     all_raw, all_target = sum(raw.values()) + buckets, sum(target.values()) + buckets
     ratios = [math.log((target.get(b, 0) + 1) / all_target) - math.log((raw.get(b, 0) + 1) / all_raw) for b in range(buckets)]
