@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.chart import encoded, sixel
 from .functions.clock import Clock, session_for
 from .functions.interval import interval, looks_like_interval
 from .functions.render import FORMATS, rendered
@@ -22,13 +23,14 @@ from .functions.report import by_symbol
 from .functions.schema import kind_from_token, kind_of, stored_bars, stored_calc
 from .operators import inspect, stats
 from .operators.indicators import calc, spec
+from .plans.plot import chart
 from .plans.request import bars
 from .plans.store import BarStore
 from .sources import tables
 from .sources.discover import Settings, settings, table_files
 
 KINDS = ("tick", "ticks", "bar", "bars")
-VERBS = ("ls", "inspect", "verify", "stat", "bars", "calc", "sync", "unsync")
+VERBS = ("ls", "inspect", "verify", "stat", "bars", "calc", "plot", "sync", "unsync")
 
 
 @dataclass
@@ -111,7 +113,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--total-return", action="store_true")
     p.add_argument("--summary", action="store_true")
     p.add_argument("--periods-per-year", type=float)
-    p.add_argument("--output", help="write Parquet instead of text")
+    p.add_argument("--output", help="write Parquet instead of text; of plot, a .six, .sixel or PNG file")
+    p.add_argument("--volume", action="store_true", help="of plot, a panel of volumes")
     p.add_argument("--store", help="the folder of stored bars")
     p.add_argument("--force", action="store_true")
     return p
@@ -181,6 +184,15 @@ def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
             rows, w.every or "1d", rth=w.rth, session=session, fill=w.fill, start=start, end=end, actions=actions,
             adjustment="total" if a.total_return else "split-only", store=BarStore(a.store) if a.store else None,
         )
+        if a.verb == "plot":
+            every = w.every or "1d"
+            canvas = chart(out, *w.specs, every=every, volume=a.volume, tz=a.tz)
+            if a.output:
+                Path(a.output).write_bytes(encoded(canvas, a.output))
+                yield f"wrote {a.output}"
+            else:
+                yield sixel(canvas)
+            return
         if a.verb == "calc":
             added = calc(out, *w.specs)
             if a.summary:
