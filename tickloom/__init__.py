@@ -11,9 +11,12 @@ _HOMES = {
     "operators.inspect": ["preview", "recent", "verify"],
     "operators.resample": ["resample"],
     "operators.stats": ["stat"],
+    "plans.plot": ["chart"],
     "plans.request": ["bars"],
     "plans.store": ["BarStore", "stale"],
     "sources.discover": ["Settings", "discovered", "settings"],
+    "streaming.download": ["Cancel", "download"],
+    "streaming.ingest": ["Contract", "Provider", "ReplayProvider"],
     "sources.tables": ["load_actions", "union_sources", "window"],
 }
 _HOME = {name: home for home, names in _HOMES.items() for name in names}

@@ -30,6 +30,7 @@ from .sources import tables
 from .sources.discover import Settings, settings, table_files
 
 KINDS = ("tick", "ticks", "bar", "bars")
+STORED_FORMS = ("csv", "jsonl", "raw", "hex")
 VERBS = ("ls", "inspect", "verify", "stat", "bars", "calc", "plot", "sync", "unsync")
 
 
@@ -131,6 +132,8 @@ def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
     start = tables.parse_bound(a.start, a.tz) if a.start else start
     end = tables.parse_bound(a.end, a.tz, end=True) if a.end else end
     session, form = session_for(w.rth, tz=a.tz, flag=a.session), w.form or "table"
+    if form == "hex" and a.verb not in ("bars", "calc") or form == "hex" and a.summary:
+        raise ValueError("only rows of bars and calc have a hex form")
     if a.verb in ("sync", "unsync"):
         if a.actions:
             raise ValueError("stored bars are raw; actions are applied when they are read")
@@ -204,13 +207,13 @@ def run(spark: SparkSession, argv: Sequence[str]) -> Iterator[str]:
                 return
             decimals = {spec(s).name: spec(s).decimals for s in w.specs}
             out = added.select("symbol", "time", "close", *decimals)
-            if a.output or form in ("csv", "jsonl", "raw"):
+            if a.output or form in STORED_FORMS:
                 out = stored_calc(out, decimals)
         if a.output:
             out.write.parquet(a.output)
             yield f"wrote {a.output}"
             return
-        if a.verb == "bars" and form in ("csv", "jsonl", "raw"):
+        if a.verb == "bars" and form in STORED_FORMS:
             out = stored_bars(out)
         yield from rendered(out.orderBy("symbol", "time"), form, a.tz)
 

@@ -1,16 +1,19 @@
-"""Rows as table, csv, md, jsonl or raw text. For results of a bounded size: rows stream through the driver."""
+"""Rows as table, csv, md, jsonl, raw or hex text. For results of a bounded size: rows stream through the driver."""
 
 from __future__ import annotations
 
 import datetime as dt
 import json
 import math
+import struct
 from collections.abc import Iterator
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame
 
-FORMATS = ("table", "csv", "md", "jsonl", "raw")
+FORMATS = ("table", "csv", "md", "jsonl", "raw", "hex")
+#: The little-endian widths of stored columns; any other is a signed 32-bit one, whose least value is null.
+WIDTHS = {**dict.fromkeys(("time", "price_e4", "open", "high", "low", "close", "vwap"), "I"), "volume": "q", "trades": "Q", "size": "i", "seq": "q"}
 
 
 def comma(n: int) -> str:
@@ -46,8 +49,14 @@ def stored(x) -> str:
     return "" if x is None or isinstance(x, float) and not math.isfinite(x) else str(x)
 
 
+def frame(names: list[str], row) -> str:
+    """A stored row's bytes as hex digits, after its symbol."""
+    packed = (struct.pack("<" + WIDTHS.get(n, "i"), -(1 << 31) if x is None else x) for n, x in zip(names, row) if n != "symbol")
+    return f"{row['symbol']}\t{b''.join(packed).hex()}"
+
+
 def rendered(df: DataFrame, how: str = "table", tz: str = "UTC") -> Iterator[str]:
-    """Lines: readable values for table and md, stored ones for csv, jsonl and raw."""
+    """Lines: readable values for table and md, stored ones for csv, jsonl, raw and hex."""
     if how not in FORMATS:
         raise ValueError(f"no format: {how!r}")
     names, rows = df.columns, df.toLocalIterator()
@@ -58,6 +67,9 @@ def rendered(df: DataFrame, how: str = "table", tz: str = "UTC") -> Iterator[str
     elif how == "raw":
         for r in rows:
             yield "\t".join(stored(x) for x in r)
+    elif how == "hex":
+        for r in rows:
+            yield frame(names, r)
     elif how == "jsonl":
         for r in rows:
             yield json.dumps({n: None if isinstance(x, float) and not math.isfinite(x) else x for n, x in zip(names, r)}, default=str)
