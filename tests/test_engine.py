@@ -1,6 +1,7 @@
 """Semantics on fixtures whose results are known."""
 
 import datetime as dt
+import random
 from zoneinfo import ZoneInfo
 
 import pytest
@@ -154,6 +155,32 @@ def test_store(spark, tmp_path):
         request(t, "1h", store=other)
 
 
+def test_store_with_new_symbols(spark, tmp_path):
+    store, t = BarStore(str(tmp_path)), ticks(spark, [(600 * k, 1 + k, 10) for k in range(60)])
+    both = t.unionByName(t.withColumn("symbol", F.lit("NEW"))).unionByName(t.withColumn("symbol", F.lit("OLD")).where("time < 9000"))
+    store.sync(both.where("symbol != 'NEW' and time < 19000"), "1h", Clock())
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(store.sync(both, "1h", Clock())) == key(resample(both, "1h")) == key(store.sync(both, "1h", Clock()))
+
+
+@pytest.mark.parametrize("every", ["7m", "50m", "5h", "11h", "13h"])
+def test_buckets_open_at_midnight(spark, every):
+    clock, width, start = Clock.of(RTH), interval(every).seconds, 1_709_960_400  # the clock changes the day after
+    rng = random.Random(every)
+    rows = sorted({start + rng.randrange(5 * 86_400) for _ in range(400)} | {start + 86_400 * k - rng.randrange(3600) for k in range(6)})
+    df = ticks(spark, [(t, 1 + k, 1 + k % 7) for k, t in enumerate(rows)])
+    own = dict(df.select("time", bucket_start(F.col("time"), interval(every), clock)).collect())
+    want, opened, end = {}, None, 0
+    for k, t in enumerate(sorted(own)):
+        if opened is None or t >= end:
+            opened, end = own[t], own[t] + width
+        want.setdefault(opened, []).append(t)
+    at = {r.time: (r.price_e4 / 10_000, r.size) for r in df.collect()}
+    expected = [(b, at[ts[0]][0], max(at[t][0] for t in ts), min(at[t][0] for t in ts), at[ts[-1]][0], sum(at[t][1] for t in ts), len(ts)) for b, ts in sorted(want.items())]
+    got = resample(df, every, clock).orderBy("time").select("time", "open", "high", "low", "close", "volume", "trades").collect()
+    assert [tuple(r) for r in got] == expected
+
+
 def test_catalogue_helpers(spark):
     assert [granularity_label(g) for g in (60, 1800, 3600, 90_000, 604_800, 2 * 86_400)] == ["1m", "30m", "1h", "1d", "1w", "2d"]
     b = bars(spark, range(1, 11), step=3600)

@@ -111,6 +111,12 @@ def bucket_start(time: Column, interval: Interval, clock: Clock) -> Column:
     return F.when(start < 0, time - F.pmod(time, F.lit(86_400))).otherwise(start)
 
 
+def spill_end(time: Column, interval: Interval, clock: Clock) -> Column:
+    """The end of the session-anchored bucket that was open when time's local day began."""
+    midnight = _midnight(F.to_date(local(time, clock.session.tz)), clock.session.tz)
+    return bucket_start(midnight - 1, interval, clock) + interval.seconds
+
+
 def next_bucket(start: Column, interval: Interval, clock: Clock) -> Column:
     """Epoch of the bucket after the one that begins at start."""
     if interval.seconds is not None:

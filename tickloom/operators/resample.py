@@ -6,31 +6,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.clock import Clock, bucket_start, needs_kernel, next_bucket
+from ..functions.clock import Clock, bucket_start, needs_kernel, next_bucket, spill_end
 from ..functions.interval import Interval, interval as parse
 from ..functions.schema import BARS, finite, kind_of, unscale_price
 
+#: Seconds: of buckets up to this wide, the one open at a midnight began after the one open at the midnight before ended.
+APART = 11 * 3600
 
-def _ticks_to_bars(ticks: DataFrame, bucket) -> DataFrame:
-    at = F.struct("time", "seq")
-    size = F.col("size").cast("long")
-    out = ticks.groupBy("symbol", bucket.alias("bucket")).agg(
-        F.min_by("price_e4", at).alias("o"), F.max("price_e4").alias("h"), F.min("price_e4").alias("l"), F.max_by("price_e4", at).alias("c"),
-        F.sum(size).alias("volume"), F.sum((F.col("price_e4") * size).cast("decimal(38,0)")).alias("mass"), F.count(F.lit(1)).alias("trades"),
+
+def _partial(df: DataFrame, kind: str, *keys) -> DataFrame:
+    """Rows by symbol and keys as o, h, l, c, volume, mass and trades, with the places of the first and the last of them."""
+    if kind == "tick":
+        at, size = F.struct("time", "seq"), F.col("size").cast("long")
+        o = h = low = c = F.col("price_e4")
+        volume, mass, trades = size, (F.col("price_e4") * size).cast("decimal(38,0)"), F.lit(1)
+    else:
+        at, (o, h, low, c) = F.struct("time"), map(F.col, ("open", "high", "low", "close"))
+        volume, trades = F.col("volume"), F.col("trades")
+        mass = F.when(finite(F.col("vwap")), F.col("vwap") * F.col("volume")).otherwise(0.0)
+    count = F.count(trades) if kind == "tick" else F.sum(trades)
+    return df.groupBy("symbol", *keys).agg(
+        F.min_by(o, at).alias("o"), F.max(h).alias("h"), F.min(low).alias("l"), F.max_by(c, at).alias("c"),
+        F.sum(volume).alias("volume"), F.sum(mass).alias("mass"), count.alias("trades"), F.min(at).alias("first"), F.max(at).alias("last"),
     )
-    vwap = F.when(F.col("volume") != 0, F.col("mass").cast("double") / 10_000 / F.col("volume"))
-    prices = [unscale_price(F.col(a)).alias(b) for a, b in zip("ohlc", ("open", "high", "low", "close"))]
-    return out.select("symbol", F.col("bucket").alias("time"), *prices, "volume", vwap.alias("vwap"), "trades")
 
 
-def _bars_to_bars(bars: DataFrame, bucket) -> DataFrame:
-    mass = F.when(finite(F.col("vwap")), F.col("vwap") * F.col("volume")).otherwise(0.0)
-    out = bars.groupBy("symbol", bucket.alias("bucket")).agg(
-        F.min_by("open", "time").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "time").alias("close"),
-        F.sum("volume").alias("volume"), F.sum(mass).alias("mass"), F.sum("trades").alias("trades"),
+def _merged(parts: DataFrame) -> DataFrame:
+    """Partial rows of the same symbol and bucket as one."""
+    return parts.groupBy("symbol", "bucket").agg(
+        F.min_by("o", "first").alias("o"), F.max("h").alias("h"), F.min("l").alias("l"), F.max_by("c", "last").alias("c"),
+        F.sum("volume").alias("volume"), F.sum("mass").alias("mass"), F.sum("trades").alias("trades"),
     )
-    vwap = F.when(F.col("volume") != 0, F.col("mass") / F.col("volume"))
-    return out.select("symbol", F.col("bucket").alias("time"), "open", "high", "low", "close", "volume", vwap.alias("vwap"), "trades")
+
+
+def _finished(parts: DataFrame, kind: str) -> DataFrame:
+    mass = F.col("mass").cast("double") / 10_000 if kind == "tick" else F.col("mass")
+    prices = [(unscale_price(F.col(a)) if kind == "tick" else F.col(a)).alias(b) for a, b in zip("ohlc", ("open", "high", "low", "close"))]
+    vwap = F.when(F.col("volume") != 0, mass / F.col("volume"))
+    return parts.select("symbol", F.col("bucket").alias("time"), *prices, "volume", vwap.alias("vwap"), "trades")
 
 
 def _open_buckets(batches, width: int):
@@ -49,16 +62,23 @@ def resample(df: DataFrame, every: str | Interval, clock: Clock = Clock(), fill:
     """Bars of the interval from ticks or bars, one shuffle of partly aggregated rows.
 
     Only session-anchored widths that do not divide an hour take another way: their buckets may move at a local midnight
-    while one is open, so rows pass in time order through a state of one bucket for each symbol.
+    while one is open. Up to APART seconds, rows are first aggregated by their own bucket and by whether the one open at
+    midnight may hold them, which no row of such a part differs in; only these parts pass in time order through a state
+    of one bucket for each symbol. Wider ones pass so row by row.
     """
     every, kind = parse(every), kind_of(df)
     bucket = bucket_start(F.col("time"), every, clock)
-    if needs_kernel(every, clock):
+    if not needs_kernel(every, clock):
+        parts = _partial(df, kind, bucket.alias("bucket"))
+    elif every.seconds <= APART:
+        parts = _partial(df, kind, bucket.cast("long").alias("__b"), (F.col("time") < spill_end(F.col("time"), every, clock)).alias("__spilled"))
+        named = parts.withColumn("time", F.col("first.time")).repartition("symbol").sortWithinPartitions("symbol", "time")
+        parts = _merged(named.mapInArrow(lambda it: _open_buckets(it, every.seconds), named.schema).withColumnRenamed("__b", "bucket"))
+    else:
         order = ["symbol", "time", *(["seq"] if kind == "tick" else [])]
         named = df.withColumn("__b", bucket.cast("long")).repartition("symbol").sortWithinPartitions(*order)
-        df = named.mapInArrow(lambda it: _open_buckets(it, every.seconds), named.schema)
-        bucket = F.col("__b")
-    bars = _ticks_to_bars(df, bucket) if kind == "tick" else _bars_to_bars(df, bucket)
+        parts = _partial(named.mapInArrow(lambda it: _open_buckets(it, every.seconds), named.schema), kind, F.col("__b").alias("bucket"))
+    bars = _finished(parts, kind)
     return forward_fill(bars, every, clock) if fill else bars
 
 

@@ -14,6 +14,10 @@ from ..operators.resample import resample
 from ..sources.tables import in_session
 
 
+#: Symbols up to which the last buckets of a table are broadcast, and the least of them bounds the scan of ticks.
+MOST_SYMBOLS = 10_000
+
+
 class StaleError(RuntimeError):
     pass
 
@@ -57,8 +61,17 @@ class BarStore:
         g = self.generation(spark, key)
         if g and not force:
             old = spark.read.schema(BARS).parquet(f"{key}/g{g}")
-            last = F.broadcast(old.groupBy("symbol").agg(F.max("time").alias("__last")))
-            tail = source.join(last, "symbol", "left").where(F.col("__last").isNull() | (F.col("time") >= F.col("__last"))).drop("__last")
+            last = old.groupBy("symbol").agg(F.max("time").alias("__last"))
+            told = last.limit(MOST_SYMBOLS + 1).collect()
+            tail = source
+            if 0 < len(told) <= MOST_SYMBOLS:
+                last = F.broadcast(spark.createDataFrame(told, last.schema))
+                # a literal bound reaches the scan; symbols without stored bars are looked for in their column alone
+                new = source.select("symbol").distinct().join(last, "symbol", "left_anti")
+                tail = source.where(F.col("time") >= min(r["__last"] for r in told))
+                if new.head(1):
+                    tail = tail.join(last, "symbol", "left_semi").unionByName(source.join(last, "symbol", "left_anti"))
+            tail = tail.join(last, "symbol", "left").where(F.col("__last").isNull() | (F.col("time") >= F.col("__last"))).drop("__last")
             kept = old.join(last, "symbol").where(F.col("time") < F.col("__last")).drop("__last")
             bars = kept.unionByName(resample(tail, every, clock))
         else:
