@@ -1,6 +1,7 @@
 """Semantics on fixtures whose results are known."""
 
 import datetime as dt
+import os
 import random
 from zoneinfo import ZoneInfo
 
@@ -10,13 +11,13 @@ from pyspark.sql import functions as F
 from tickloom.functions import render
 from tickloom.functions.clock import RTH, Clock, Session, bucket_start
 from tickloom.functions.interval import granularity_label, interval
-from tickloom.functions.schema import BARS, TICKS, kind_of, scale_fixed, scale_price
+from tickloom.functions.schema import ACTIONS, BARS, TICKS, kind_of, scale_fixed, scale_price
 from tickloom.operators import adjust, indicators, inspect, stats
 from tickloom.operators.resample import resample
 from tickloom.plans.request import bars as request
 from tickloom.plans.store import BarStore, StaleError, stale
 from tickloom.sources import tables
-from tickloom.streaming import ingest
+from tickloom.streaming import ingest, live
 
 OPEN = 1_704_205_800  # 2024-01-02 09:30 in New York
 NY = Clock("America/New_York")
@@ -117,6 +118,23 @@ def test_adjustment_and_detection(spark):
             tables.actions_frame(spark, [{"symbol": "A", "date": "1970-01-02", **bad}])
 
 
+def test_adjusted_sizes_stop_at_the_type_s_bounds(spark):
+    t = ticks(spark, [(OPEN, 10, 2_000_000_000), (OPEN + 1, 10, 3)])
+    split = spark.createDataFrame([("A", dt.date(2024, 6, 1), 4.0, None, None)], ACTIONS)
+    assert [r[0] for r in adjust.adjust(t, split).orderBy("seq").select("size").collect()] == [2**31 - 1, 12]
+
+
+def test_late_ticks_of_a_stream(spark, tmp_path):
+    for k, rows in enumerate(([(0, 10, 1), (600, 11, 1)], [(1200, 12, 1)], [(30, 99, 1), (2400, 13, 1)])):
+        ticks(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path))
+        for f in tmp_path.glob("part-*"):  # a file for each batch, in this order; lateness counts from the batch before
+            if f.stat().st_mtime > 1e9:
+                os.utime(f, (k + 1, k + 1))
+    stream = live.tumbling_bars(live.tick_stream(spark, str(tmp_path), TICKS, maxFilesPerTrigger="1"), "1m")
+    got = live.drained(stream, "append").orderBy("time").collect()
+    assert [(r.time, r.high, r.trades) for r in got][:3] == [(0, 10.0, 1), (600, 11.0, 1), (1200, 12.0, 1)]
+
+
 def test_stat_is_the_same_from_ticks_and_bars(spark):
     t = ticks(spark, [(100, 10, 100), (100, 12, 300), (160, 11, 200)])
     a, b = stats.stat(t).first(), stats.stat(resample(t, "1s")).first()

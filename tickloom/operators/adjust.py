@@ -23,6 +23,10 @@ def mode(token: str) -> str:
     return MODES[token.lower()]
 
 
+def _few(actions: DataFrame) -> bool:
+    return actions.limit(BROADCAST_ACTIONS + 1).count() <= BROADCAST_ACTIONS
+
+
 def _at(actions: DataFrame, tz: str) -> DataFrame:
     ex = F.unix_seconds(F.to_utc_timestamp(F.col("ex_date").cast("timestamp"), tz))
     ratio = F.coalesce(F.col("split"), 1 / F.col("reverse_split"))
@@ -40,7 +44,8 @@ def factors(actions: DataFrame, how: str = "split-only", tz: str = NEW_YORK, bar
         if bars is None:
             raise ValueError("total-return needs the whole series")
         b = bars.select(normalize_symbol(F.col("symbol")).alias("__bs"), F.col("time").alias("__bt"), F.col("close").alias("__bc"))
-        last = b.join(F.broadcast(a.where("dividend is not null").select("__s", "__ex").distinct()), (F.col("__bs") == F.col("__s")) & (F.col("__bt") < F.col("__ex")))
+        ex = a.where("dividend is not null").select("__s", "__ex").distinct()
+        last = b.join(F.broadcast(ex) if _few(actions) else ex, (F.col("__bs") == F.col("__s")) & (F.col("__bt") < F.col("__ex")))
         last = last.groupBy("__s", "__ex").agg(F.max_by("__bc", "__bt").alias("__c"))
         a = a.join(last, ["__s", "__ex"], "left")
         dividend = F.when((F.col("__c") > 0) & (F.col("dividend") < F.col("__c")), (F.col("__c") - F.col("dividend")) / F.col("__c"))
@@ -62,13 +67,13 @@ def adjust(df: DataFrame, actions: DataFrame, how: str = "split-only", tz: str =
     if how == "raw":
         return df
     f = factors(actions, how, tz, df if kind == "bar" else None)
-    if actions.count() <= BROADCAST_ACTIONS:
+    if _few(actions):
         f = F.broadcast(f)
     j = df.join(f, (normalize_symbol(df["symbol"]) == f["__s"]) & (df["time"] >= f["__lo"]) & (df["time"] < f["__hi"]), "left")
     p, v = F.coalesce("__pf", F.lit(1.0)), F.coalesce("__vf", F.lit(1.0))
     scaled: dict[str, Column] = {c: F.col(c) * p for c in ("open", "high", "low", "close", "vwap") if c in df.columns}
     if kind == "tick":
-        scaled = {"price_e4": F.round(F.col("price_e4") * p).cast("long"), "size": F.round(F.col("size") * v).cast("int")}
+        scaled = {"price_e4": F.round(F.col("price_e4") * p).cast("long"), "size": F.least(F.greatest(F.round(F.col("size") * v), F.lit(-2.0**31)), F.lit(2.0**31 - 1)).cast("int")}
     else:
         scaled["volume"] = F.round(F.col("volume") * v).cast("long")
     return j.select(*(scaled[c].alias(c) if c in scaled else df[c] for c in df.columns))
