@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,20 @@ def unstage(*staged: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path.getParent(), True)
 
 
+def released(kernel: Callable) -> Callable:
+    """The kernel, giving what it has freed back to the system when its task ends: Python workers outlive their tasks."""
+
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+                trim(0)
+
+    return run
+
+
 def words(text) -> F.Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column, in order; of a null, none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_chunks, word_hashes
+from .common import released, stage, text_chunks, word_hashes
 
 BUCKETS = 1 << 15
 RANK = 64
@@ -274,7 +274,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, buckets: int = BUCKETS,
     bench = sorted((tuple(r) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     out = "row long, item_id long, common double, answer double, cosine double, first_word long"
     names = [x.split()[0] for x in out.replace("row", "doc_id").split(", ")]
-    counted = docs.select("text").mapInArrow(lambda it: _frequencies(it, buckets), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()
+    counted = docs.select("text").mapInArrow(released(lambda it: _frequencies(it, buckets)), "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect()
     counts, n = np.zeros(buckets), 0
     for b, x in counted:
         if b < 0:
@@ -285,8 +285,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, buckets: int = BUCKETS,
         return spark.createDataFrame([], out.replace("row", "doc_id"))
     idf = np.log((n + 1) / (counts + 1) + 1e-3).clip(0).astype(np.float32)
     # items are weighted to half of the whole, so that the leading directions tell them apart
-    parts = docs.select("text").mapInArrow(lambda it: _products(it, idf, buckets, rank), "part long, sums binary")
-    parts = parts.repartition(buckets // _PART, "part").mapInArrow(_summed, "part long, sums binary").collect()
+    parts = docs.select("text").mapInArrow(released(lambda it: _products(it, idf, buckets, rank)), "part long, sums binary")
+    parts = parts.repartition(buckets // _PART, "part").mapInArrow(released(_summed), "part long, sums binary").collect()
     product = np.zeros((buckets // _PART, _PART * rank))
     for part, raw in parts:
         product[part] += np.frombuffer(raw, np.float64)
@@ -297,7 +297,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, buckets: int = BUCKETS,
         own.reshape(-1, _PART * rank)[part] += np.frombuffer(raw, np.float32)
     scale = np.linalg.norm(product) / max(np.linalg.norm(own), 1e-9)
     basis = latent_basis(product + own * max(scale, 1) * 4, random.astype(np.float64), rank)
-    return docs.mapInArrow(lambda it: _hits(it, bench, idf, basis), out).toDF(*names)
+    return docs.mapInArrow(released(lambda it: _hits(it, bench, idf, basis)), out).toDF(*names)
 
 
 def _own_product(bench, idf, buckets, rank):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_shingles, unstage
+from .common import released, stage, text_shingles, unstage
 from .graph import components
 
 RETAINED, SKETCH = 24, 64
@@ -202,7 +202,7 @@ def _in_cells(pairs: DataFrame, held: DataFrame, k: int, percent: int, read, jud
     named = named.select("cell", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "data")
     rows = named.unionByName(pairs.select("cell", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast(held.schema["data"].dataType).alias("data")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", "kind")
-    return rows.mapInArrow(lambda it: _cells(it, k, percent, read, judge), "a binary, b binary, cell long")
+    return rows.mapInArrow(released(lambda it: _cells(it, k, percent, read, judge)), "a binary, b binary, cell long")
 
 
 def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -213,7 +213,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     schema = "doc_id long, key long, node binary, n long, sketch binary, signature array<long>"
-    sets = stage(docs.select("doc_id", "text", "key").mapInArrow(lambda it: _sets(it, k), schema), "sets")
+    sets = stage(docs.select("doc_id", "text", "key").mapInArrow(released(lambda it: _sets(it, k)), schema), "sets")
     classes = sets.where("node is not null").groupBy("node")
     classes = classes.agg(F.min(F.struct("doc_id", "key", "n", "sketch", "signature")).alias("x"), F.min("doc_id").alias("least"))
     classes = stage(classes.select("node", "least", "x.key", "x.n", "x.sketch", "x.signature"), "classes")
@@ -234,9 +234,9 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         if nameless:
             own = docs.where("doc_id is null").groupBy("key").agg(F.first("text").alias("text"))
             told = told.unionByName(own.join(asked.where("least is null").select("key", "node"), "key").select(F.lit(None).cast("long").alias("doc_id"), "text", "node"))
-        return told.mapInArrow(lambda it: _own(it, k), "node binary, n long, text string").dropDuplicates(["node"])
+        return told.mapInArrow(released(lambda it: _own(it, k)), "node binary, n long, text string").dropDuplicates(["node"])
 
-    postings = stage(classes.select("node", "n", "sketch").mapInArrow(first, "value long, node binary, n long"), "postings")
+    postings = stage(classes.select("node", "n", "sketch").mapInArrow(released(first), "value long, node binary, n long"), "postings")
     # values in many lists go last in every set; what moves up in their place may be in many lists as well
     hot_values = np.zeros(0, np.uint64)
     for _ in range(DEMOTIONS):
@@ -258,7 +258,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         hot_values = np.sort(np.concatenate([hot_values, new]))
         touched = stage(postings.join(F.broadcast(hot), "value", "left_semi").select("node").distinct(), "touched")
         values = hot_values.tobytes()
-        again = near(touched).mapInArrow(lambda it, values=values: _postings(it, k, values, percent), "value long, node binary, n long")
+        again = near(touched).mapInArrow(released(lambda it, values=values: _postings(it, k, values, percent)), "value long, node binary, n long")
         before, postings = postings, stage(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
         unstage(lists, hot, touched, before)
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")

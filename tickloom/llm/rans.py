@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import released, shared_dir, stage
 
 BITS = 20  # of the frequencies' sum
 BLOCK_TOKENS = 1 << 18
@@ -277,9 +277,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     from tokenizers import Tokenizer
 
     spark, dtype = docs.sparkSession, id_type(Tokenizer.from_file(tokenizer_path))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lambda it: _tokenised(it, tokenizer_path), "doc_id long, ids binary")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(lambda it: _tokenised(it, tokenizer_path)), "doc_id long, ids binary")
     ids = stage(ids, "ids")
-    counted = ids.select("ids").mapInArrow(lambda it: _counts(it, dtype), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect()
+    counted = ids.select("ids").mapInArrow(released(lambda it: _counts(it, dtype)), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect()
     counts = np.zeros(max([-1, *(r[0] for r in counted)]) + 1, np.int64)
     for s, n in counted:
         counts[s] = n
@@ -287,7 +287,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     spark.createDataFrame([(i, int(f)) for i, f in enumerate(frequencies) if f], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/frequencies")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = ids.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    placed.mapInArrow(lambda it: _blocks(it, frequencies, dtype), BLOCKS).write.parquet(f"{path}/blocks")
+    placed.mapInArrow(released(lambda it: _blocks(it, frequencies, dtype)), BLOCKS).write.parquet(f"{path}/blocks")
     spark.read.schema(BLOCKS).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
 
 
@@ -302,7 +302,7 @@ def read_tokens(spark, path: str) -> DataFrame:
         bases[shard] = at
         at += n
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
-    return blocks.mapInArrow(lambda it: _read(it, frequencies, bases), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(released(lambda it: _read(it, frequencies, bases)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encoded_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
