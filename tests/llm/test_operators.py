@@ -550,3 +550,13 @@ def test_pipeline(spark, small):
     out = p.STAGES[-1][1](spark, docs, small)
     assert out.count() == len(seen[3])
     assert found(p.run(spark, small)) == found(out)
+
+
+def test_run_sums_of_any_length():
+    """Sums of rows over runs do not walk each run by itself, and equal the plain sums."""
+    r = np.random.default_rng(2)
+    lengths = np.array([1, 16, 17, 5000, 1, 256, 257, 3])
+    first, table = np.cumsum(lengths) - lengths, r.standard_normal((50, 4))
+    rows_ = r.integers(0, 50, lengths.sum())
+    assert np.allclose(lsi_decontam._run_sums(table, rows_, first), np.add.reduceat(table[rows_], first, axis=0))
+    assert lsi_decontam._run_sums(table, np.array([7]), np.array([0])).tolist() == [table[7].tolist()]

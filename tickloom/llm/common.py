@@ -146,7 +146,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.n
     last[edge] = ink[edge]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     p = prefix_hashes(data, _VALUE_FOLDED if fold else _VALUE)
-    return start, end, span_hashes(p, start, end), np.searchsorted(offsets, start, "right") - 1
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
+    return start, end, span_hashes(p, start, end), owner
 
 
 def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int) -> list[np.ndarray]:

@@ -39,9 +39,15 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _frequencies(batches, buckets: int):
     total, n = np.zeros(buckets, np.int64), 0
     for batch in batches:
-        for i, j, data, offsets in text_chunks(batch.column(0)):
+        for i, j, data, offsets in text_chunks(batch.column(0), 1 << 17):
             _, _, h, owner = word_hashes(data, offsets, True)
-            pairs = np.unique(owner * buckets + _bucket(h, buckets))
+            pairs = owner * buckets + _bucket(h, buckets)
+            if (j - i) * buckets <= _AT_ONCE * 8:
+                held = np.zeros((j - i) * buckets, bool)
+                held[pairs] = True
+                pairs = np.flatnonzero(held)
+            else:
+                pairs = np.unique(pairs)
             total += np.bincount(pairs % buckets, minlength=buckets)
             n += j - i
     seen = np.flatnonzero(total)
@@ -62,11 +68,33 @@ def _sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray, most: int) ->
     """Sums of the table's rows over runs of `most` at most; the table's last row is zero."""
     lengths = np.diff(np.append(first, len(rows)))
     out = table[rows[first]]
+    more = np.empty_like(out)
     for d in range(1, most):
-        out += table[np.where(lengths > d, rows[np.minimum(first + d, len(rows) - 1)], len(table) - 1)]
+        at = np.where(lengths > d, rows[np.minimum(first + d, len(rows) - 1)], len(table) - 1)
+        out += table.take(at, axis=0, out=more, mode="clip")
     return out
 
 
+def _run_sums(table: np.ndarray, rows: np.ndarray, first: np.ndarray, most: int = 16) -> np.ndarray:
+    """Sums of the table's rows over runs of any length: of parts of `most` rows first, the longest parts ahead."""
+    lengths = np.diff(np.append(first, len(rows)))
+    parts = -(-lengths // most)
+    begin = np.cumsum(parts) - parts
+    place = np.arange(int(parts.sum())) - np.repeat(begin, parts)
+    start = np.repeat(first, parts) + place * most
+    size = np.minimum(np.repeat(first + lengths, parts) - start, most)
+    order = np.argsort(most - size, kind="stable")
+    start, longer = start[order], np.cumsum(np.bincount(size, minlength=most + 1)[::-1])[::-1]
+    sums = table[rows[start]]
+    more = np.empty_like(sums)
+    for d in range(1, most):
+        k = longer[d + 1]
+        sums[:k] += table.take(rows[start[:k] + d], axis=0, out=more[:k], mode="clip")
+    out = np.empty_like(sums)
+    out[order] = sums
+    return out if len(out) == len(first) else _run_sums(out, np.arange(len(out)), begin, most)
+
+
 def _with_zero(table: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.zeros_like(table[:1])])
 
@@ -76,31 +104,31 @@ def _windows(blocks: np.ndarray, text: np.ndarray) -> np.ndarray:
     out = blocks.copy()
     for d in range(1, WINDOW // STEP):
         same = text[d:] == text[:-d]
-        out[: len(blocks) - d][same] += blocks[d:][same]
+        np.add(out[: len(blocks) - d], blocks[d:], out=out[: len(blocks) - d], where=same.reshape(-1, *[1] * (blocks.ndim - 1)))
     return out
 
 
 def _products(batches, idf: np.ndarray, buckets: int, rank: int):
     """Partial A' (A R) of the passages (blocks of WINDOW words without overlap)."""
     random = np.random.default_rng(11).standard_normal((buckets, rank)).astype(np.float32)
-    weighted = _with_zero(random * idf[:, None])
+    weighted, square = _with_zero(random * idf[:, None]), idf**2
     total = np.zeros((buckets, rank))
     for batch in batches:
-        for i, j, data, offsets in text_chunks(batch.column(0), 1 << 18):
+        for i, j, data, offsets in text_chunks(batch.column(0)):
             _, _, h, owner = word_hashes(data, offsets, True)
             if not len(h):
                 continue
             b = _bucket(h, buckets)
             starts = np.searchsorted(owner, np.arange(j - i))
-            place = np.arange(len(h)) - starts[owner]
-            new = np.flatnonzero((place % WINDOW) == 0)
-            passage = np.cumsum((place % WINDOW) == 0) - 1
-            norm = np.sqrt(np.add.reduceat(idf[b] ** 2, new)) + 1e-9
-            y = _sums(weighted, b, new, WINDOW) / (norm**2)[:, None]
+            is_new = (np.arange(len(h)) - starts[owner]) % WINDOW == 0
+            new, passage = np.flatnonzero(is_new), np.cumsum(is_new) - 1
+            norm = np.sqrt(np.add.reduceat(square[b], new)) + 1e-9
+            y = _sums(weighted, b, new, WINDOW)
+            y /= (norm**2)[:, None]
             order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")  # 16 bits: a radix sort
             sorted_b = b[order]
             first = np.flatnonzero(np.r_[True, sorted_b[1:] != sorted_b[:-1]])
-            sums = np.add.reduceat(y[passage[order]], first, axis=0)
+            sums = _run_sums(y, passage[order], first)
             total[sorted_b[first]] += sums * idf[sorted_b[first]][:, None]
     parts = total.astype(np.float32).reshape(-1, _PART * rank)
     yield pa.record_batch([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "sums"])
@@ -152,6 +180,8 @@ class Items:
         self.item = np.array(self.item, np.int64)
         # for each item, the places of its distinct words in the vocabulary of all items
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
+        self.leading = np.zeros(1 << 20, bool)
+        self.leading[self.vocabulary >> np.uint64(44)] = True
         self.place = np.full((len(self.words), len(self.vocabulary)), -1, np.int16)
         self.least = []
         for k, w in enumerate(self.words):
@@ -168,9 +198,33 @@ class Items:
                 masks[x] = masks.get(x, 0) | 1 << k
             self.masks.append(masks)
 
+    def known(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words are in the vocabulary, and where."""
+        maybe = np.flatnonzero(self.leading[words >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.vocabulary, words[maybe]), len(self.vocabulary) - 1)
+        right = self.vocabulary[at] == words[maybe]
+        return maybe[right], at[right]
+
     def possible(self, k: np.ndarray, lo: np.ndarray, hi: np.ndarray, known: np.ndarray) -> np.ndarray:
         """Of stretches known[lo:hi] of vocabulary words, whether each can hold enough of its item k."""
         out = hi - lo >= self.least[k]
+        # of neighbouring stretches of one item, all go where the whole of them cannot hold it
+        rough = np.flatnonzero(out)
+        rough = rough[np.lexsort((lo[rough], k[rough]))]
+        new = (np.diff(k[rough], prepend=-1) != 0) | (np.diff(lo[rough], prepend=-1) > 32)
+        new |= np.arange(len(rough)) % 16 == 0
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        if len(rough):
+            whole = self._enough(k[rough[begin]], lo[rough[begin]], np.maximum.reduceat(hi[rough], begin), known)
+            out[rough[~whole[group]]] = False
+        some = np.flatnonzero(out)
+        out[some] = self._enough(k[some], lo[some], hi[some], known)
+        return out
+
+    def _enough(self, k: np.ndarray, lo: np.ndarray, hi: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Of stretches known[lo:hi], whether each holds as many distinct words of its item k as the least hit."""
+        out = np.ones(len(k), bool)
         some, width = np.flatnonzero(out), max(map(len, self.words))
         part = np.cumsum(hi[some] - lo[some] + width) // _AT_ONCE
         for one in np.split(some, np.flatnonzero(np.diff(part)) + 1) if len(some) else []:
@@ -234,15 +288,17 @@ def _hits(batches, bench: list, idf: np.ndarray, basis: np.ndarray):
             norm = _windows(np.add.reduceat(square[b], first), text)
             latent /= np.sqrt(norm)[:, None] + 1e-9
             starts = np.searchsorted(owner, np.arange(j - i + 1))
-            at_word = np.minimum(np.searchsorted(items.vocabulary, h), len(items.vocabulary) - 1)
-            known_at = np.flatnonzero(items.vocabulary[at_word] == h)
-            known = at_word[known_at]
+            known_at, known = items.known(h)
             before = np.searchsorted(known_at, np.arange(len(h) + 1))  # vocabulary words before each word
             best: dict[tuple[int, int], tuple] = {}
             for at in range(0, len(latent), 4096):
                 cosine = latent[at : at + 4096] @ items.vectors.T
-                w, q = np.nonzero(cosine >= COSINE)
-                t, k = text[at + w], items.item[q]
+                w, q = np.divmod(np.flatnonzero(cosine >= COSINE), cosine.shape[1])
+                # of the passages of one item, the first tells of them all
+                k = items.item[q]
+                one = np.flatnonzero(np.diff(w, prepend=-1) | np.diff(k, prepend=-1))
+                w, q, k = w[one], q[one], k[one]
+                t = text[at + w]
                 a = np.maximum(starts[t], first[at + w] - items.lengths[k])
                 z = np.minimum(starts[t + 1], first[at + w] + WINDOW + items.lengths[k])
                 left = np.flatnonzero(items.possible(k, before[a], before[z], known))
