@@ -560,3 +560,28 @@ def test_run_sums_of_any_length():
     rows_ = r.integers(0, 50, lengths.sum())
     assert np.allclose(lsi_decontam._run_sums(table, rows_, first), np.add.reduceat(table[rows_], first, axis=0))
     assert lsi_decontam._run_sums(table, np.array([7]), np.array([0])).tolist() == [table[7].tolist()]
+
+
+@pytest.mark.parametrize("bits, most", [(20, 500_000), (4, 9)])
+def test_ids_of_pieces_come_from_arrays(monkeypatch, bits, most):
+    """Once learned, pieces of a text are looked up without the library or a Python object for each; any table size does."""
+    import pyarrow as pa
+
+    from tickloom.llm.common import text_chunks
+
+    monkeypatch.setattr(rans._Table, "SLOTS", bits)
+    monkeypatch.setattr(rans._Words, "MOST", most)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    texts = [t for _, t, *_ in rows()] + ["a\0b a\0 a \0", "Éa,b É×a ÷ÿ.ß ßß!! 'tis don't x'. <s> [UNK] ..a a.. a1. 1.", "x" * 16 + " " + "X" * 17 + ".", "Ÿ Ā İ ﬁ 中,文 é Ã\n\n"]
+    texts += [f"Word{chr(97 + i % 26)}{chr(97 + i // 26)}, " * 2 for i in range(300)]
+    table = rans._Table(rans._Words(path))
+    expected = [[*library.encode(t or "", add_special_tokens=False).ids, rans.END_ID] for t in texts]
+    for turn in range(2):
+        got = []
+        if turn and bits == 20:
+            monkeypatch.setattr(table.words, "each", lambda names: [np.array(library.encode(n, add_special_tokens=False).ids, table.words.dtype).tobytes() for n in names if len(n.encode()) > 16 or pytest.fail(n)])
+        for _, _, data, offsets in text_chunks(pa.array(texts, pa.string()), 2000):
+            ids, ends = table.encode(data, offsets)
+            got += [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert got == expected

@@ -9,7 +9,6 @@ next has its own CRC-32, and the document ids and lengths have theirs.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, stage
+from .common import released, shared_dir, stage, text_chunks
 
 BITS = 20  # of the frequencies' sum
 BLOCK_TOKENS = 1 << 18
@@ -106,12 +105,15 @@ class Coder:
 
 # -- tokenising -----------------------------------------------------------------------------------------------------
 
-_ENCODERS: dict[str, _Words] = {}
+_ENCODERS: dict[str, _Table] = {}
 _SEPARATOR = "\x01"
-#: New pieces, and pieces of whole texts, that a Python worker holds before it encodes them.
-NEW, HELD = 50_000, 300_000
-#: Letters of Latin-1 and then marks of ASCII but the apostrophe: the pre-tokenizer parts the two, and the letters count in lower case.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: New pieces that a Python worker encodes at once.
+NEW = 50_000
+#: Kinds of bytes: letters, marks of ASCII but the apostrophe, others. The pre-tokenizer parts letters from marks.
+_LETTER, _MARK = 1, 2
+_KIND = np.array([_LETTER if c.isalpha() else _MARK if "!" <= c <= "~" and c != "'" and not c.isdigit() else 0 for c in map(chr, range(128))] + 128 * [0], np.uint8)
+#: Second bytes of the letters of Latin-1 in UTF-8, behind 0xC3; the first 31 are capitals.
+_LATIN = np.isin(np.arange(256), [x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)])
 
 
 def id_type(tokenizer) -> str:
@@ -122,8 +124,7 @@ def id_type(tokenizer) -> str:
 class _Words:
     """Ids of the pieces between blanks, as little-endian 16- or 32-bit bytes, encoded by the library when first seen.
 
-    Only for tokenizers that drop white space, lower-case, and part letters from marks. Plain words share the entry of
-    their lower-case letters, so that the library sees each of those once.
+    Only for tokenizers that drop white space, lower-case, and part letters from marks.
     """
 
     MOST = 500_000  # pieces kept by a Python worker
@@ -141,17 +142,7 @@ class _Words:
         """Adds the pieces; those learned before may be forgotten."""
         if len(self.known) + len(pieces) > self.MOST:
             self.known.clear()
-        made, wanted = [], {}
-        for piece in pieces:
-            if plain := _PLAIN.fullmatch(piece):
-                letters, marks = plain[1].lower(), plain[2]
-                made.append((piece, letters, marks))
-                wanted[letters] = wanted[marks] = None
-            else:
-                wanted[piece] = None
-        self._encode([w for w in wanted if w not in self.known])
-        for piece, letters, marks in made:
-            self.known[piece] = self.known[letters] + self.known[marks]
+        self._encode([p for p in pieces if p not in self.known])
 
     def _encode(self, pieces: list[str]) -> None:
         plain = [p for p in pieces if _SEPARATOR not in p] if self.mark is not None else []
@@ -171,44 +162,164 @@ class _Words:
             if piece not in self.known:
                 self.known[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def ids(self, pieces: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            self.learn(list(set(pieces).difference(self.known)))
+    def each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of these distinct pieces."""
+        new = [p for p in pieces if p not in self.known]
+        for i in range(0, len(new), NEW):
+            self.learn(new[i : i + NEW])
         try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:  # learning forgot the others
-            self.learn(list(set(pieces)))
-            return b"".join(map(self.known.__getitem__, pieces))
+            return [self.known[p] for p in pieces]
+        except KeyError:  # learning forgot some
+            out = []
+            for i in range(0, len(pieces), NEW):
+                self.learn(pieces[i : i + NEW])
+                out += [self.known[p] for p in pieces[i : i + NEW]]
+            return out
+
+
+class _Table:
+    """Ids of pieces of up to 16 bytes by the bytes themselves, in arrays; all others are asked from _Words by name.
+
+    A slot holds one piece, and the first one keeps it. Where half of the slots are taken, all are given up.
+    """
+
+    SLOTS = 20  # bits
+
+    def __init__(self, words: _Words):
+        self.words = words
+        self.clear()
+
+    def clear(self) -> None:
+        # the piece's bytes in two columns, then its size, 0 in a free slot, and the number and place of its ids
+        self.slots = np.zeros((1 << self.SLOTS, 4), np.int64)
+        self.ids, self.used, self.taken = np.array([END_ID], self.words.dtype), 1, 0
+
+    def _room(self, n: int) -> None:
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(n, self.used), self.ids.dtype)])
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of the texts in data one after another, each closed by END_ID, and where each text ends."""
+        data, start, size, owner = _pieces(data, offsets)
+        low, high = _leading(data, start, size)
+        slot = ((low ^ (high * np.uint64(0x9E3779B97F4A7C15)) ^ size.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        if 2 * self.taken > 1 << self.SLOTS:
+            self.clear()
+        low, high = low.view(np.int64), high.view(np.int64)
+        found = self.slots[slot]
+        at, length = found[:, 3] >> 32, found[:, 3] & 0xFFFFFFFF
+        missed = np.flatnonzero((found[:, 2] != size) | (found[:, 0] != low) | (found[:, 1] != high) | (size > 16))
+        if len(missed):
+            raw = data.tobytes()
+            pieces = [raw[s:e].decode() for s, e in zip(start[missed].tolist(), (start[missed] + size[missed]).tolist())]
+            names: dict[str, int] = {}
+            which = np.array([names.setdefault(p, len(names)) for p in pieces])
+            one = np.empty(len(names), np.int64)
+            one[which] = missed  # a place of each name
+            made = self.words.each(list(names))
+            width = self.ids.dtype.itemsize
+            n = np.array([len(x) // width for x in made], np.int64)
+            # names that get a slot stay, the ids of all others are forgotten after these texts
+            free = np.flatnonzero((found[one, 2] == 0) & (size[one] <= 16))
+            stay = np.zeros(len(names), bool)
+            stay[free[np.unique(slot[one[free]], return_index=True)[1]]] = True
+            order = np.argsort(~stay, kind="stable")
+            begin = np.empty(len(names), np.int64)
+            begin[order] = self.used + np.cumsum(n[order]) - n[order]
+            self._room(int(n.sum()))
+            self.ids[self.used : self.used + int(n.sum())] = np.frombuffer(b"".join([made[i] for i in order.tolist()]), self.ids.dtype)
+            self.used += int(n[stay].sum())
+            self.taken += int(stay.sum())
+            here = one[stay]
+            self.slots[slot[here]] = np.stack([low[here], high[here], size[here], begin[stay] << 32 | n[stay]], axis=1)
+            at[missed], length[missed] = begin[which], n[which]
+        words_of = np.bincount(owner, minlength=len(offsets) - 1)
+        close = np.cumsum(words_of) + np.arange(len(words_of))
+        is_word = np.ones(len(start) + len(words_of), bool)
+        is_word[close] = False
+        all_at, all_length = np.zeros(len(is_word), np.int64), np.ones(len(is_word), np.int64)
+        all_at[is_word], all_length[is_word] = at, length
+        upto = np.cumsum(all_length)
+        ids = self.ids[np.arange(int(upto[-1])) + np.repeat(all_at - upto + all_length, all_length)]
+        return ids, upto[close]
+
+
+def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, size, text index) of the pieces between blanks.
+
+    A piece of letters, and marks behind them, is parted into the two, and its letters become lower-case, so that the
+    library sees each word once.
+    """
+    n = len(data)
+    ink = (data != 0x20) & (data != 0x0A)
+    first, last = ink.copy(), ink.copy()
+    first[1:] &= ~ink[:-1]
+    last[:-1] &= ~ink[1:]
+    edge = offsets[offsets < n]
+    first[edge] = ink[edge]
+    edge = offsets[offsets > 0] - 1
+    last[edge] = ink[edge]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[_LATIN[data[lead + 1]]]
+    kind[lead] = kind[lead + 1] = _LETTER
+    other = kind == 0
+    other[1:] |= (kind[1:] == _LETTER) & (kind[:-1] == _MARK) & ~first[1:]
+    others, letters = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32)
+    np.cumsum(other, out=others[1:])
+    np.cumsum(kind == _LETTER, out=letters[1:])
+    plain = (others[end] == others[start]) & (kind[start] == _LETTER) if n else np.zeros(0, bool)
+    capital = (data >= 0x41) & (data <= 0x5A)
+    second = lead[data[lead + 1] < 0x9F] + 1
+    capital[second] = True
+    capital = np.flatnonzero(capital)
+    data = data.copy()
+    data[capital[plain[np.searchsorted(start, capital, "right") - 1]]] += 0x20
+    middle = np.where(plain, start + letters[end] - letters[start], end)
+    marked = middle < end
+    # the marks of a piece come right behind its letters
+    at = np.arange(len(start)) + np.cumsum(marked) - marked
+    starts, ends = np.empty(len(start) + int(marked.sum()), np.int64), np.empty(len(start) + int(marked.sum()), np.int64)
+    starts[at], ends[at] = start, middle
+    starts[at[marked] + 1], ends[at[marked] + 1] = middle[marked], end[marked]
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
+    return data, starts, ends - starts, owner
+
+
+def _leading(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 8 bytes and the next 8 of each stretch as integers, with zeros behind its end."""
+    padded = np.zeros((len(data) + 7) // 8 * 8 + 24, np.uint8)
+    padded[: len(data)] = data
+    eights, word, shift = padded.view("<u8"), start >> 3, ((start & 7) << 3).astype(np.uint64)
+    a, b, c = eights[word], eights[word + 1], eights[word + 2]
+    rest = np.uint64(63) - shift  # a shift by 64 in two steps
+    low, high = (a >> shift) | (b << rest << np.uint64(1)), (b >> shift) | (c << rest << np.uint64(1))
+    return low & _FIRST_BYTES[np.minimum(size, 8)], high & _FIRST_BYTES[np.clip(size - 8, 0, 8)]
+
+
+_FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _tokenised(batches, path: str):
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    words = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Words(path))
-    end = np.array([END_ID], words.dtype).tobytes()
+    table = _ENCODERS.get(path) or _ENCODERS.setdefault(path, _Table(_Words(path)))
     for batch in batches:
-        out, held, size, new = [], [], 0, set()
-        texts = batch.column(1).to_pylist()
-        for i, text in enumerate(texts):
-            pieces = (text or "").replace("\n", " ").split(" ")
-            held.append(pieces)
-            size += len(pieces)
-            new.update(set(pieces).difference(words.known))
-            if len(new) >= NEW or size >= HELD or i == len(texts) - 1:
-                words.learn(list(new))
-                out += [words.ids(x) + end for x in held]
-                held, size, new = [], 0, set()
-        yield pa.record_batch([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
+        for i, j, data, offsets in text_chunks(batch.column(1)):
+            ids, ends = table.encode(data, offsets)
+            width = ids.dtype.itemsize
+            bounds = pa.array(np.append(0, ends) * width, pa.int64()).buffers()[1]
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), j - i, [None, bounds, pa.py_buffer(ids)])
+            yield pa.record_batch([batch.column(0).slice(i, j - i), raw.cast(pa.binary())], ["doc_id", "ids"])
 
 
 def _counts(batches, dtype: str):
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for ids in batch.column(0).to_pylist():
-            n = np.bincount(np.frombuffer(ids, dtype))
+        for i in range(0, len(batch), 256):
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).slice(i, 256).to_pylist()), dtype))
             if len(n) > len(total):
                 total = np.pad(total, (0, len(n) - len(total)))
             total[: len(n)] += n
