@@ -1,6 +1,7 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, mixing, token output.
 
-Each stage takes what its predecessor kept; all but the last return the columns of documents.
+Each stage takes what its predecessor kept; all but the last return the columns of documents. Before it begins, the driver
+gives back what the one before has left.
 """
 
 from __future__ import annotations
@@ -9,33 +10,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tickloom.llm import lsi_decontam, mixing, near_dedup, quality_llr, rans
-from tickloom.llm.common import stage, table
+from tickloom.llm.common import give_back, stage, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the log-likelihood ratio reject go."""
+    give_back(spark)
     return quality_llr.quality_rules(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
+    give_back(spark)
     return near_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    give_back(spark)
     return lsi_decontam.clean_documents(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out as the source weights ask."""
+    give_back(spark)
     return mixing.mixed_documents(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files; returns what is read back from them, a row for each document of the mix."""
+    give_back(spark)
     return rans.encoded_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -585,3 +585,18 @@ def test_ids_of_pieces_come_from_arrays(monkeypatch, bits, most):
             ids, ends = table.encode(data, offsets)
             got += [x.tolist() for x in np.split(ids, ends[:-1])]
         assert got == expected
+
+
+def test_driver_gives_back_between_stages(spark, tmp_path, monkeypatch):
+    """Each stage of the pipeline begins with it, so that the driver does not keep what all before have left."""
+    import corpus_pipeline
+
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "give_back", lambda s: calls.append(s))
+    text = " ".join(f"word{i % 90} other" for i in range(60))
+    spark.createDataFrame([(1, "The capital of a country is a city in it")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    frame = spark.createDataFrame([(1, text, "en", "a", 9), (2, text + " x", "en", "b", 9)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        f(spark, frame, str(tmp_path))
+        assert len(calls) == k + 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -56,13 +57,24 @@ def released(kernel: Callable) -> Callable:
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back(spark: SparkSession | None = None) -> None:
+    """Gives what this process has freed back to the system; on the driver, with spark, what its JVM holds no more as well.
+
+    The collection also lets Spark's cleaner drop broadcasts and shuffle files that no table needs any more.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc alone
+        trim(0)
+    if spark is not None:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def words(text) -> F.Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column, in order; of a null, none."""
     parts = F.split(F.coalesce(text, F.lit("")), SPACE + "+")

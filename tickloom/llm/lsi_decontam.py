@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, stage, text_chunks, word_hashes
+from .common import give_back, released, stage, text_chunks, word_hashes
 
 BUCKETS = 1 << 15
 RANK = 64
@@ -343,17 +343,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, buckets: int = BUCKETS,
     # items are weighted to half of the whole, so that the leading directions tell them apart
     parts = docs.select("text").mapInArrow(released(lambda it: _products(it, idf, buckets, rank)), "part long, sums binary")
     parts = parts.repartition(buckets // _PART, "part").mapInArrow(released(_summed), "part long, sums binary").collect()
-    product = np.zeros((buckets // _PART, _PART * rank))
-    for part, raw in parts:
+    basis = _basis(parts, bench, idf, buckets, rank)
+    give_back(spark)
+    return docs.mapInArrow(released(lambda it: _hits(it, bench, idf, basis)), out).toDF(*names)
+
+
+def _basis(parts: list, bench: list, idf: np.ndarray, buckets: int, rank: int) -> np.ndarray:
+    """The latent basis from the summed products, which are taken off the list, and the items'."""
+    product, own = np.zeros((buckets // _PART, _PART * rank)), np.zeros((buckets // _PART, _PART * rank))
+    while parts:
+        part, raw = parts.pop()
         product[part] += np.frombuffer(raw, np.float64)
-    product = product.reshape(buckets, rank)
-    random = np.random.default_rng(11).standard_normal((buckets, rank)).astype(np.float32)
-    own = np.zeros_like(product)
     for (part, raw) in _own_product(bench, idf, buckets, rank):
-        own.reshape(-1, _PART * rank)[part] += np.frombuffer(raw, np.float32)
-    scale = np.linalg.norm(product) / max(np.linalg.norm(own), 1e-9)
-    basis = latent_basis(product + own * max(scale, 1) * 4, random.astype(np.float64), rank)
-    return docs.mapInArrow(released(lambda it: _hits(it, bench, idf, basis)), out).toDF(*names)
+        own[part] += np.frombuffer(raw, np.float32)
+    own *= max(np.linalg.norm(product) / max(np.linalg.norm(own), 1e-9), 1) * 4
+    product += own
+    del own
+    random = np.random.default_rng(11).standard_normal((buckets, rank)).astype(np.float32)
+    return latent_basis(product.reshape(buckets, rank), random.astype(np.float64), rank)
 
 
 def _own_product(bench, idf, buckets, rank):
