@@ -587,6 +587,38 @@ def test_ids_of_pieces_come_from_arrays(monkeypatch, bits, most):
         assert got == expected
 
 
+def test_pairs_are_tried_by_fine_signatures(spark, monkeypatch):
+    """Near copies just below the similarity do not all become pairs that are read with their texts."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(240)]
+    copies = []
+    for _ in range(60):
+        words_ = list(base)
+        for at in r.sample(range(2, 240, 5), 8):
+            words_[at] = f"c{r.random()}"
+        copies.append(" ".join(words_))
+    pairs, real = [], near_dedup._in_cells
+
+    def counted(p, *rest):
+        pairs.append(p.count())
+        return real(p, *rest)
+
+    monkeypatch.setattr(near_dedup, "_in_cells", counted)
+    got = found(near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(copies)), "doc_id long, text string")))
+    sets = [set(zip(*(c.split()[i:] for i in range(5)))) for c in copies]
+    root = list(range(60))
+    for a in range(60):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = [min(x, y) if z in (x, y) else z for z in root]
+    assert [x[2] for x in sorted(got)] == root
+    values = [np.frombuffer(b"".join(hashlib.md5(repr(x).encode()).digest()[:8] for x in s), np.uint64) for s in sets]
+    differ = lambda a, b: int(np.bitwise_count((near_dedup.signature(a, 2048) ^ near_dedup.signature(b, 2048)).view(np.uint64)).sum())
+    assert all(differ(values[0], values[i]) <= len(sets[0] ^ sets[i]) for i in range(60))
+    assert sum(pairs) < 1000
+
+
 def test_driver_gives_back_between_stages(spark, tmp_path, monkeypatch):
     """Each stage of the pipeline begins with it, so that the driver does not keep what all before have left."""
     import corpus_pipeline

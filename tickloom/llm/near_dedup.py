@@ -8,7 +8,8 @@ the full sets confirms the rest. Links make components.
 No list is expanded into all its pairs. First each member of a list meets its most typical member, that whose values
 are in the longest lists, such as the text that many copies were made from; the confirmed links give components. Then
 only members of different components meet, and only those whose signatures of 512 parities allow the similarity: two
-sets differ in at least as many values as their signatures do in bits. So every pair of a list is either confirmed,
+sets differ in at least as many values as their signatures do in bits. Of all pairs, only those that signatures of 2,048
+parities allow as well become rows that are read with their sketches and texts. So every pair of a list is either confirmed,
 refuted, or already in one component, and no link is lost. Values in long lists (65,536 values at most) are
 ordered last in every set, so a passage that many texts share does not bring unrelated ones together;
 a set with such a value retains its whole prefix of ``n - ceil(0.8 n) + 1`` values, with which no partner can be missed.
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import released, stage, text_shingles, unstage
+from .common import give_back, released, stage, text_shingles, unstage
 from .graph import components
 
 RETAINED, SKETCH = 24, 64
 #: Values in lists of more than LIST members go last, the largest lists first, as many as a broadcast table may hold.
 LIST, HOT_VALUES, DEMOTIONS = 16, 65_536, 2
-#: Parities of a signature.
-BITS = 512
+#: Parities of a signature: of those that lists are joined by, and of those that each pair is tried by.
+BITS, FINE_BITS = 512, 2048
 #: Members of a list that one task compares with the others.
 PART = 2048
 #: What a block of nodes holds at most: members, and shingles of them all (one larger text is alone).
@@ -60,16 +61,23 @@ def _retained(values: np.ndarray, hot: np.ndarray | None, percent: int) -> np.nd
     return np.concatenate([values[~is_hot], values[is_hot]])[:p]
 
 
-def signature(values: np.ndarray) -> np.ndarray:
-    """BITS parities as 64-bit words: bit i tells whether an odd number of the values fall to i."""
-    odd = np.bincount((values & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+def signature(values: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """So many parities as 64-bit words: bit i tells whether an odd number of the values fall to i."""
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def _alike(percent: int, bits: int, a: str, b: str, na: str, nb: str) -> F.Column:
+    """Whether two signatures allow a link: it differs in (1 - t) / (1 + t) of the summed sizes at most."""
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(bits // 64)), F.lit(0))
+    return differ * (100 + percent) <= (F.col(na) + F.col(nb)) * (100 - percent)
+
+
 def _sets(batches, k: int):
     for batch in batches:
         sets = list(text_shingles(batch.column(1), k))
-        parities = np.array([signature(s) for s in sets], np.int64).reshape(-1)
+        parities = [np.array([signature(s, bits) for s in sets], np.int64).reshape(-1) for bits in (BITS, FINE_BITS)]
+        parities = [pa.FixedSizeListArray.from_arrays(pa.array(x), bits // 64).cast(pa.list_(pa.int64())) for x, bits in zip(parities, (BITS, FINE_BITS))]
         yield pa.record_batch(
             [
                 batch.column(0),
@@ -77,9 +85,9 @@ def _sets(batches, k: int):
                 pa.array([class_key(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([s[:SKETCH].tobytes() for s in sets], pa.binary()),
-                pa.FixedSizeListArray.from_arrays(pa.array(parities), BITS // 64).cast(pa.list_(pa.int64())),
+                *parities,
             ],
-            ["doc_id", "key", "node", "n", "sketch", "signature"],
+            ["doc_id", "key", "node", "n", "sketch", "signature", "fine"],
         )
 
 
@@ -212,11 +220,11 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
-    schema = "doc_id long, key long, node binary, n long, sketch binary, signature array<long>"
+    schema = "doc_id long, key long, node binary, n long, sketch binary, signature array<long>, fine array<long>"
     sets = stage(docs.select("doc_id", "text", "key").mapInArrow(released(lambda it: _sets(it, k)), schema), "sets")
     classes = sets.where("node is not null").groupBy("node")
-    classes = classes.agg(F.min(F.struct("doc_id", "key", "n", "sketch", "signature")).alias("x"), F.min("doc_id").alias("least"))
-    classes = stage(classes.select("node", "least", "x.key", "x.n", "x.sketch", "x.signature"), "classes")
+    classes = classes.agg(F.min(F.struct("doc_id", "key", "n", "sketch", "signature", "fine")).alias("x"), F.min("doc_id").alias("least"))
+    classes = stage(classes.select("node", "least", "x.key", "x.n", "x.sketch", "x.signature", "x.fine"), "classes")
     nameless = bool(classes.where("least is null").head(1))
 
     # the sketch holds the first 64 values, so lists of up to 24 values come from it without the text
@@ -264,17 +272,18 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
     every_listed = stage(postings.join(shared, "value"), "listed")
     unstage(postings)
-    blocks = stage(_blocks(every_listed, percent), "blocks")
+    blocks = stage(_blocks(every_listed, percent).join(classes.select("node", "n", "fine"), "node"), "blocks")
     listed = every_listed.select("value", "node", "n", "members")
-    block = lambda x: blocks.select(F.col("node").alias(x), F.col("block").alias(f"b{x}"))
+    block = lambda x: blocks.select(F.col("node").alias(x), F.col("block").alias(f"b{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
 
     def met(pairs, before):
-        """The candidate pairs (a, na, b, nb), each once, and the new links among them."""
+        """The candidate pairs (a, na, b, nb) that fine signatures allow, each once, and the new links among them."""
         pairs = pairs.where((F.col("a") != F.col("b")) & fit).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = pairs if before is None else pairs.join(before, ["a", "b"], "left_anti")
         cell = F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("cell")
-        pairs = stage(pairs.join(block("a"), "a").join(block("b"), "b").select("a", "b", cell), "pairs")
+        pairs = pairs.join(block("a"), "a").join(block("b"), "b").where(_alike(percent, FINE_BITS, "fa", "fb", "na", "nb"))
+        pairs = stage(pairs.select("a", "b", cell), "pairs")
         held = classes.select("node", F.col("sketch").alias("data"))
         likely = stage(_in_cells(pairs, held, k, percent, _sketch_table, _likely), "likely")
         texts = near(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", F.col("text").alias("data"))
@@ -282,11 +291,13 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         unstage(likely)
         return pairs.select("a", "b"), links
 
+    give_back(spark)  # each round leaves many plans behind
     told = listed.join(blocks.select("node", "typical"), "node")
     heads = told.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("typical", "node")).alias("h"))
     star = told.join(heads, "value").where(F.col("node") != F.col("h.node"))
     seen, links = met(star.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("h.node").alias("b"), F.col("h.n").alias("nb")), None)
     roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
+    give_back(spark)
     # members of one list that are still apart
     told = stage(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = told.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
@@ -294,15 +305,14 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     parts = F.ceil(F.col("members") / PART).cast("int")
     x = apart.select("value", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("signature").alias("sa"))
     y = apart.select("value", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.col("signature").alias("sb"))
-    differ = sum((F.bit_count(F.get("sa", F.lit(i)).bitwiseXOR(F.get("sb", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    # a link differs in (1 - t) / (1 + t) of the summed sizes at most
-    alike = differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    alike = _alike(percent, BITS, "sa", "sb", "na", "nb")
     rest = x.join(y, (x["value"] == y["value"]) & (x["part"] == y["part"]) & (x["ra"] != y["rb"]) & (x["a"] < y["b"]) & fit & alike)
     _, more = met(rest.select("a", "na", "b", "nb"), seen)
     if more.head(1):
         every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
         roots = stage(components(every), "roots")
     unstage(told, every_listed)
+    give_back(spark)
     member = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     low = member.groupBy("root").agg(F.min("least").alias("component"))
     return sets.select("doc_id", "key", "node", "n"), member.join(low, "root").select("node", "root", "component")
