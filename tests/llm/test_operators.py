@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tickloom.llm import bpe_counts, lsi_decontam, mixing, near_dedup, quality_llr, queries, rans, secret_scan, sharding, style_tree, suffix_dedup
+from tickloom.llm import bpe_counts, common, lsi_decontam, mixing, near_dedup, quality_llr, queries, rans, secret_scan, sharding, style_tree, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, lang string, n long, node string, value string, key string, size long, shard int, n_words long, __times long, host string"
@@ -632,3 +632,29 @@ def test_driver_gives_back_between_stages(spark, tmp_path, monkeypatch):
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
         f(spark, frame, str(tmp_path))
         assert len(calls) == k + 1
+
+
+def test_driver_jvm_gives_its_free_memory_back(spark):
+    """The heap keeps less than twice what it held when it was collected, and the allocator is trimmed too."""
+    jvm, array = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    beans = jvm.java.lang.management.ManagementFactory
+    vm = beans.getPlatformMXBean(jvm.java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean"))
+    before = vm.getVMOption("MaxHeapFreeRatio").getValue()
+    held = [array(jvm.byte, 1 << 24) for _ in range(32)]
+    del held
+    common.give_back(spark)
+    common.give_back(spark)  # py4j lets go of the arrays some time after Python did
+    heap = beans.getMemoryMXBean().getHeapMemoryUsage()
+    assert heap.getCommitted() < 2 * heap.getUsed() + (16 << 20)
+    assert vm.getVMOption("MaxHeapFreeRatio").getValue() == before
+    assert "Trim native heap" in common._give_back_jvm(spark)
+
+
+def test_driver_gives_back_before_the_basis(spark, monkeypatch):
+    """What the JVM held of the products goes before Python takes the memory of the basis."""
+    calls, basis = [], lsi_decontam._basis
+    monkeypatch.setattr(lsi_decontam, "give_back", lambda s: calls.append("give back"))
+    monkeypatch.setattr(lsi_decontam, "_basis", lambda *a: calls.append("basis") or basis(*a))
+    docs = spark.createDataFrame([(1, "a text of some words and no more " * 9)], "doc_id long, text string")
+    lsi_decontam.contaminated(docs, spark.createDataFrame([(1, "the capital of a country is a city")], "item_id long, text string"))
+    assert calls == ["give back", "basis", "give back"]

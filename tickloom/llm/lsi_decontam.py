@@ -343,6 +343,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, buckets: int = BUCKETS,
     # items are weighted to half of the whole, so that the leading directions tell them apart
     parts = docs.select("text").mapInArrow(released(lambda it: _products(it, idf, buckets, rank)), "part long, sums binary")
     parts = parts.repartition(buckets // _PART, "part").mapInArrow(released(_summed), "part long, sums binary").collect()
+    give_back(spark)  # what the JVM held of the parts, before the basis takes its memory
     basis = _basis(parts, bench, idf, buckets, rank)
     give_back(spark)
     return docs.mapInArrow(released(lambda it: _hits(it, bench, idf, basis)), out).toDF(*names)

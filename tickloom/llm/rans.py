@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, shared_dir, stage, text_chunks
+from .common import give_back, released, shared_dir, stage, text_chunks
 
 BITS = 20  # of the frequencies' sum
 BLOCK_TOKENS = 1 << 18
@@ -390,6 +390,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     spark, dtype = docs.sparkSession, id_type(Tokenizer.from_file(tokenizer_path))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(lambda it: _tokenised(it, tokenizer_path)), "doc_id long, ids binary")
     ids = stage(ids, "ids")
+    give_back(spark)  # the tokenizer too, of which the driver needs the vocabulary's size alone
     counted = ids.select("ids").mapInArrow(released(lambda it: _counts(it, dtype)), "symbol long, n long").groupBy("symbol").agg(F.sum("n")).collect()
     counts = np.zeros(max([-1, *(r[0] for r in counted)]) + 1, np.int64)
     for s, n in counted:
