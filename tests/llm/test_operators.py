@@ -658,3 +658,17 @@ def test_driver_gives_back_before_the_basis(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a text of some words and no more " * 9)], "doc_id long, text string")
     lsi_decontam.contaminated(docs, spark.createDataFrame([(1, "the capital of a country is a city")], "item_id long, text string"))
     assert calls == ["give back", "basis", "give back"]
+
+
+def test_near_duplicates_drop_each_shuffle_at_once(spark, monkeypatch):
+    """Whenever a table has been written, the driver collects its garbage, with which what led to the table goes."""
+    calls = []
+    write, back = near_dedup.stage, near_dedup.give_back
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name: calls.append(name) or write(df, name))
+    monkeypatch.setattr(near_dedup, "give_back", lambda *s: calls.append("give back") or back(*s))
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words), " ".join([*words[:-1], "other"]), "something else here " * 9]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(0, 0), (1, 0), (2, 2)]
+    at = [i for i, x in enumerate(calls) if x in ("sets", "classes", "postings", "listed", "blocks", "pairs", "likely", "confirmed")]
+    assert len(at) > 8 and all(calls[i + 1] == "give back" for i in at)

@@ -213,6 +213,13 @@ def _in_cells(pairs: DataFrame, held: DataFrame, k: int, percent: int, read, jud
     return rows.mapInArrow(released(lambda it: _cells(it, k, percent, read, judge)), "a binary, b binary, cell long")
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """df as a table; its shuffle files go at once, not when the driver happens to collect its garbage."""
+    out = stage(df, name)
+    give_back(df.sparkSession)
+    return out
+
+
 def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, key, node, n) of each row and (node, root, component) of each class; key is a hash of the text.
 
@@ -221,10 +228,10 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
     schema = "doc_id long, key long, node binary, n long, sketch binary, signature array<long>, fine array<long>"
-    sets = stage(docs.select("doc_id", "text", "key").mapInArrow(released(lambda it: _sets(it, k)), schema), "sets")
+    sets = _staged(docs.select("doc_id", "text", "key").mapInArrow(released(lambda it: _sets(it, k)), schema), "sets")
     classes = sets.where("node is not null").groupBy("node")
     classes = classes.agg(F.min(F.struct("doc_id", "key", "n", "sketch", "signature", "fine")).alias("x"), F.min("doc_id").alias("least"))
-    classes = stage(classes.select("node", "least", "x.key", "x.n", "x.sketch", "x.signature", "x.fine"), "classes")
+    classes = _staged(classes.select("node", "least", "x.key", "x.n", "x.sketch", "x.signature", "x.fine"), "classes")
     nameless = bool(classes.where("least is null").head(1))
 
     # the sketch holds the first 64 values, so lists of up to 24 values come from it without the text
@@ -244,11 +251,11 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             told = told.unionByName(own.join(asked.where("least is null").select("key", "node"), "key").select(F.lit(None).cast("long").alias("doc_id"), "text", "node"))
         return told.mapInArrow(released(lambda it: _own(it, k)), "node binary, n long, text string").dropDuplicates(["node"])
 
-    postings = stage(classes.select("node", "n", "sketch").mapInArrow(released(first), "value long, node binary, n long"), "postings")
+    postings = _staged(classes.select("node", "n", "sketch").mapInArrow(released(first), "value long, node binary, n long"), "postings")
     # values in many lists go last in every set; what moves up in their place may be in many lists as well
     hot_values = np.zeros(0, np.uint64)
     for _ in range(DEMOTIONS):
-        lists = stage(postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LIST), "lists")
+        lists = _staged(postings.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > LIST), "lists")
         fresh = lists if not len(hot_values) else lists.join(F.broadcast(_as_frame(spark, hot_values)), "value", "left_anti")
         room = HOT_VALUES - len(hot_values)
         sizes = sorted(map(tuple, fresh.groupBy("members").count().collect()), reverse=True)
@@ -258,21 +265,21 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             if room < 0:
                 least = members
                 break
-        hot = stage(fresh.where(F.col("members") > least).select("value"), "hot")
+        hot = _staged(fresh.where(F.col("members") > least).select("value"), "hot")
         new = np.array([r[0] for r in hot.collect()], np.int64).view(np.uint64)  # at most HOT_VALUES
         if not len(new):
             unstage(lists, hot)
             break
         hot_values = np.sort(np.concatenate([hot_values, new]))
-        touched = stage(postings.join(F.broadcast(hot), "value", "left_semi").select("node").distinct(), "touched")
+        touched = _staged(postings.join(F.broadcast(hot), "value", "left_semi").select("node").distinct(), "touched")
         values = hot_values.tobytes()
         again = near(touched).mapInArrow(released(lambda it, values=values: _postings(it, k, values, percent)), "value long, node binary, n long")
-        before, postings = postings, stage(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
+        before, postings = postings, _staged(postings.join(touched, "node", "left_anti").unionByName(again), "postings")
         unstage(lists, hot, touched, before)
     shared = postings.groupBy("value").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total")).where("members > 1")
-    every_listed = stage(postings.join(shared, "value"), "listed")
+    every_listed = _staged(postings.join(shared, "value"), "listed")
     unstage(postings)
-    blocks = stage(_blocks(every_listed, percent).join(classes.select("node", "n", "fine"), "node"), "blocks")
+    blocks = _staged(_blocks(every_listed, percent).join(classes.select("node", "n", "fine"), "node"), "blocks")
     listed = every_listed.select("value", "node", "n", "members")
     block = lambda x: blocks.select(F.col("node").alias(x), F.col("block").alias(f"b{x}"), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     fit = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
@@ -283,23 +290,21 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         pairs = pairs if before is None else pairs.join(before, ["a", "b"], "left_anti")
         cell = F.xxhash64(F.least("ba", "bb"), F.greatest("ba", "bb")).alias("cell")
         pairs = pairs.join(block("a"), "a").join(block("b"), "b").where(_alike(percent, FINE_BITS, "fa", "fb", "na", "nb"))
-        pairs = stage(pairs.select("a", "b", cell), "pairs")
+        pairs = _staged(pairs.select("a", "b", cell), "pairs")
         held = classes.select("node", F.col("sketch").alias("data"))
-        likely = stage(_in_cells(pairs, held, k, percent, _sketch_table, _likely), "likely")
+        likely = _staged(_in_cells(pairs, held, k, percent, _sketch_table, _likely), "likely")
         texts = near(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()).select("node", F.col("text").alias("data"))
-        links = stage(_in_cells(likely, texts, k, percent, _full_table, _linked).select("a", "b"), "confirmed")
+        links = _staged(_in_cells(likely, texts, k, percent, _full_table, _linked).select("a", "b"), "confirmed")
         unstage(likely)
         return pairs.select("a", "b"), links
 
-    give_back(spark)  # each round leaves many plans behind
     told = listed.join(blocks.select("node", "typical"), "node")
     heads = told.groupBy("value").agg(F.max_by(F.struct("node", "n"), F.struct("typical", "node")).alias("h"))
     star = told.join(heads, "value").where(F.col("node") != F.col("h.node"))
     seen, links = met(star.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("h.node").alias("b"), F.col("h.n").alias("nb")), None)
-    roots = stage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
-    give_back(spark)
+    roots = _staged(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "roots")
     # members of one list that are still apart
-    told = stage(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    told = _staged(listed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
     mixed = told.groupBy("value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("value")
     apart = told.join(mixed, "value", "left_semi").join(classes.select("node", "signature"), "node")
     parts = F.ceil(F.col("members") / PART).cast("int")
@@ -310,7 +315,7 @@ def _judged(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     _, more = met(rest.select("a", "na", "b", "nb"), seen)
     if more.head(1):
         every = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-        roots = stage(components(every), "roots")
+        roots = _staged(components(every), "roots")
     unstage(told, every_listed)
     give_back(spark)
     member = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
